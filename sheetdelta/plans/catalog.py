@@ -2,6 +2,7 @@
 
 from sheetdelta.plans import (  # noqa: F401
     queries_geometry,
+    queries_report,
     queries_text,
 )
 from sheetdelta.plans.registry import CHECKS, QUERIES  # noqa: F401
