@@ -1,6 +1,7 @@
 """All named queries."""
 
 from sheetdelta.plans import (  # noqa: F401
+    queries_cells,
     queries_geometry,
     queries_report,
     queries_text,
