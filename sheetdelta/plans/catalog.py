@@ -3,6 +3,7 @@
 from sheetdelta.plans import (  # noqa: F401
     queries_cells,
     queries_geometry,
+    queries_match,
     queries_report,
     queries_text,
 )

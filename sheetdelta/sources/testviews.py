@@ -176,8 +176,8 @@ join (select 0 as ak, 'top_left' as anchor union all select 1, 'top-right' union
 
 ZONES = """
 select 'lattice' as doc_pair, l_suppkey as seq, l_orderkey * 10 + l_linenumber as zone_id,
-  l_partkey % 50 as x, l_orderkey % 50 as y, 1 + cast(l_quantity as bigint) % 14 as w, 1 + l_linenumber as h
-from $lineitem
+  min(l_partkey) % 50 as x, l_orderkey % 50 as y, 1 + cast(min(l_quantity) as bigint) % 14 as w, cast(1 + l_linenumber as bigint) as h
+from $lineitem group by l_suppkey, l_orderkey, l_linenumber
 """
 
 EXCLUSIONS = """
