@@ -52,7 +52,7 @@ def t2(v):
 
 @query("t3_latest_job_state", _E + r"""
 select job_id, strftime(max(at_ts), '%Y-%m-%d %H:%M:%S') as at_text, arg_max(state, at_ts) as state, arg_max(progress, at_ts) as progress, count(*) as events,
-  cast(regexp_extract(arg_max(message, at), '(\d+) / (\d+)', 1) as bigint) as completed_pages, cast(regexp_extract(arg_max(message, at), '(\d+) / (\d+)', 2) as bigint) as total_pages
+  cast(regexp_extract(arg_max(message, at_ts), '(\d+) / (\d+)', 1) as bigint) as completed_pages, cast(regexp_extract(arg_max(message, at_ts), '(\d+) / (\d+)', 2) as bigint) as total_pages
 from job_events group by job_id""")
 def t3(v):
     latest = drain(J.latest_job_state(events_stream(v)))
@@ -62,7 +62,7 @@ def t3(v):
 
 
 _STALE = """, g as (select *, case when state = 'queued' then 14400 else 7200 end as allow from job_events),
-m as (select *, max(epoch_us(at_ts) + allow * 1000000) over (partition by job_id order by at_ts rows between unbounded preceding and 1 preceding) as until from g),
+m as (select *, max(epoch_us(at_ts) + allow * 1000000::bigint) over (partition by job_id order by at_ts rows between unbounded preceding and 1 preceding) as until from g),
 s as (select *, sum(case when until is null or epoch_us(at_ts) > until then 1 else 0 end) over (partition by job_id order by at_ts) as burst from m),
 b as (select job_id, burst, arg_max(state, at_ts) as last_state, strftime(max(at_ts), '%Y-%m-%d %H:%M:%S') as last_at, count(*) as events from s group by all)
 select job_id, last_at, last_state, events from b where last_state in ('queued', 'running', 'cancelling')"""
