@@ -139,7 +139,23 @@ def f7(v):
     return Z.drop_sparse_page_zones(big, R.pack(few, SHEET, ()), v.view("dims"), "bits").select("seq", "zone_id")
 
 
-@query("m7_merge_zones")
+_STEPS = _REGIONS[_REGIONS.index("node as ("):].replace("zone as (", "zone0 as (")
+_MERGED = _REGIONS.rstrip() + f""",
+grown as (select distinct seq, x + dx as x, y + dy as y from changed, {_CROSS} where x + dx between 0 and 63 and y + dy between 0 and 63),
+closed as (select g.seq, g.x, g.y from grown g, {_CROSS} where g.x + dx not between 0 and 63 or g.y + dy not between 0 and 63
+  or exists (select 1 from grown h where h.seq = g.seq and h.x = g.x + dx and h.y = g.y + dy) group by all having count(*) = 5),
+{_STEPS.replace("node", "node2").replace("edge", "edge2").replace("reach", "reach2").replace("zone0", "cand").replace("from changed", "from closed").rstrip()},
+hit as (select c.seq, c.label as cand, z.label, z.w * z.h as zone_area from cand c join zone z
+  on c.seq = z.seq and c.x < z.x + z.w and z.x < c.x + c.w and c.y < z.y + z.h and z.y < c.y + c.h),
+src as (select seq, cand, sum(zone_area) as source_area from hit group by all having count(*) >= 2),
+good as (select c.* from cand c join src s on s.seq = c.seq and s.cand = c.label where c.w * c.h <= 1024 and c.w * c.h / source_area <= 16
+  and (select count(*) from changed m where m.seq = c.seq and m.x >= c.x and m.x < c.x + c.w and m.y >= c.y and m.y < c.y + c.h) / (c.w * c.h) >= 0.01)
+select seq, x, y, w, h, true as merged from good
+union all select z.seq, z.x, z.y, z.w, z.h, false from zone z where not exists (
+  select 1 from hit join good g on g.seq = hit.seq and g.label = hit.cand where hit.seq = z.seq and hit.label = z.label)"""
+
+
+@query("m7_merge_zones", _MERGED)
 def m7(v):
     from sheetdelta.session import cut
 

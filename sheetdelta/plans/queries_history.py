@@ -169,14 +169,30 @@ def _matches(v):
     return O.match_existing_runs(pairs, runs)
 
 
-@query("j10_match_existing_runs")
+_STEM = r"regexp_replace(regexp_extract({}, '[^/]*$'), '\.[^.]*$', '')"
+# all name pairs against all runs, without any blocking
+_FOUND = _R + f""", p as (select min(append_pos) as pair_id, old_pdf as o, replace(new_pdf, 'C:/in', 'D:/new') as n from runs group by old_pdf, new_pdf),
+names as (select distinct lower(concat_ws(' ', {_STEM.format('o')}, {_STEM.format('n')})) as asked from p),
+stems as (select distinct lower(concat_ws(' ', {_STEM.format('old_pdf')}, {_STEM.format('new_pdf')})) as s, lower(concat_ws(' ', {_STEM.format('new_pdf')}, {_STEM.format('old_pdf')})) as r from runs),
+near as (select * from (select asked, s, greatest(1 - levenshtein(asked, s) / greatest(len(asked), len(s)), 1 - levenshtein(asked, r) / greatest(len(asked), len(r))) as ratio from names, stems) where ratio >= 0.72),
+hit as (select pair_id, append_pos as run_id, ts as created_at,
+    case when lower(o) = lower(old_pdf) and lower(n) = lower(new_pdf) then 1e0 when lower(o) = lower(new_pdf) and lower(n) = lower(old_pdf) then 0.98e0
+      when lower(regexp_extract(o, '[^/]*$')) = lower(regexp_extract(old_pdf, '[^/]*$')) and lower(regexp_extract(n, '[^/]*$')) = lower(regexp_extract(new_pdf, '[^/]*$')) then 0.95e0
+      when lower(regexp_extract(o, '[^/]*$')) = lower(regexp_extract(new_pdf, '[^/]*$')) and lower(regexp_extract(n, '[^/]*$')) = lower(regexp_extract(old_pdf, '[^/]*$')) then 0.93e0 end as named, ratio
+  from p join near on asked = lower(concat_ws(' ', {_STEM.format('o')}, {_STEM.format('n')}))
+    join runs on s = lower(concat_ws(' ', {_STEM.format('old_pdf')}, {_STEM.format('new_pdf')}))),
+found as (select pair_id, run_id, created_at, round(coalesce(named, ratio), 9) as similarity,
+  case named when 1 then 'exact_paths' when 0.98 then 'exact_paths_reversed' when 0.95 then 'exact_file_names' when 0.93 then 'exact_file_names_reversed' else 'similar_file_names' end as reason from hit)"""
+
+
+@query("j10_match_existing_runs", _FOUND + " select * from found")
 def j10(v):
-    return _matches(v)
+    return _matches(v).withColumn("similarity", F.round("similarity", 9))
 
 
-@query("f10_o5_similar_runs")
+@query("f10_o5_similar_runs", _FOUND + """ select * from (select *, row_number() over (partition by pair_id order by similarity desc, created_at desc, run_id desc) as place from found) where place <= 10""")
 def o5(v):
-    return O.similar_runs(_matches(v), 10)
+    return O.similar_runs(_matches(v).withColumn("similarity", F.round("similarity", 9)), 10)
 
 
 @query("o8_jobs_newest_first", """
