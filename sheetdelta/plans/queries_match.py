@@ -10,7 +10,8 @@ from sheetdelta.operators import cells as R
 from sheetdelta.operators import matching as M
 from sheetdelta.operators import similarity as S
 from sheetdelta.plans import compare
-from sheetdelta.plans.registry import query
+from sheetdelta.plans import queries_cells  # noqa: F401  its shift check is reused below
+from sheetdelta.plans.registry import CHECKS, query
 from sheetdelta.session import cut
 from sheetdelta.sources.testviews import view_ctes
 
@@ -244,10 +245,23 @@ def _lattice_sizes(v):
 _LATTICE = compare.DiffSettings(dpi=72.0, tolerance_px=1.0, strictness="strict", clean=False)
 
 
-@query("m12_diff_sheets")
+_SHIFTED = CHECKS["m8_register_shift"].replace("\nselect t.seq,", ",\nshift as (select t.seq,", 1).rstrip() + """),
+moved as (select seq, rev, x, y from cells where rev = 'A' union all select c.seq, c.rev, c.x - shift_x, c.y - shift_y from cells c join shift using (seq)
+  where rev = 'B' and c.x - shift_x between 0 and 63 and c.y - shift_y between 0 and 63),
+sides as (select seq, x, y, bool_or(rev = 'A') as in_a, bool_or(rev = 'B') as in_b from moved group by all)
+select s.seq, any_value(method) as alignment_method, cast(any_value(shift_x) as double) as alignment_shift_x_px, cast(any_value(shift_y) as double) as alignment_shift_y_px,
+  count(*) filter (in_a <> in_b) as diff_area_px, count(*) filter (in_b and not in_a) as added_px, count(*) filter (in_a and not in_b) as removed_px,
+  count(*) as foreground_px, count(*) filter (in_a <> in_b) / 4096e0 * 100 as diff_percent, 'matched' as status
+from sides s join shift using (seq) group by s.seq"""
+
+
+@query("m12_diff_sheets", _SHIFTED)
 def m12(v):
     details, _ = compare.diff_sheets(R.pack(v.view("cells")), _lattice_sizes(v), _LATTICE)
-    return details
+    return details.select(
+        "seq", "status", "alignment_method", "alignment_shift_x_px", "alignment_shift_y_px", "diff_area_px", "added_px",
+        "removed_px", "foreground_px", "diff_percent",
+    )
 
 
 @query("m13_compare_documents")
