@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,29 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Taken from ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a folder of its own; on a cluster a machine-local folder would
-    be lost with its executor, so the setting is required there.
+    Taken from ``spark.checkpoint.dir``; where that is unset, a folder beside the
+    warehouse tables is used, which a cluster shares as well. The rule is the same
+    for every master.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    existing = sc.getCheckpointDir()
-    if configured:
-        if existing is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    if existing:
-        return existing
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="sheetdelta-")
-    sc.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for a written intermediate table."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder for a written intermediate table.
+
+    The table goes when the session's JVM ends.
+    """
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, where = _file_system(spark, path)
+    fs.mkdirs(where.getParent())
+    fs.deleteOnExit(where)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written step that no later plan reads."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
