@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -17,6 +19,10 @@ from sheetdelta.llm.common import per_batch
 # The split pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Token ids fit in so many bits; pairs of ids and (rank, id) are kept as one number.
+_BITS = 24
+_NONE = 1 << 62
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in vocabulary files.
@@ -37,7 +43,7 @@ class Vocabulary:
         self.ids = {as_bytes(token): i for token, i in spec["model"]["vocab"].items()}
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         pairs = ((self.ids[as_bytes(a)], self.ids[as_bytes(b)], self.ids[as_bytes(a + b)]) for a, b in merges)
-        self.merges = {(a, b): (rank, made) for rank, (a, b, made) in enumerate(pairs)}
+        self.merges = {a << _BITS | b: rank << _BITS | made for rank, (a, b, made) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.single = [self.ids.get(bytes([b])) for b in range(256)]
         self.tokens = {i: token for token, i in self.ids.items()} | {i: c.encode() for c, i in self.special.items()}
@@ -46,6 +52,13 @@ class Vocabulary:
             raw = np.frombuffer(token, np.uint8)
             inside[raw[:-1], raw[1:]] = True
         self.cut_after = (~inside).tobytes()
+        self._encoder: Encoder | None = None
+
+    def encoder(self) -> Encoder:
+        """One encoder for all tasks of a Python worker."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
@@ -57,105 +70,94 @@ def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
         return Vocabulary(json.load(lines))
 
 
-class Encoder:
-    """Encodes and decodes with one vocabulary; keeps the ids of pieces already met.
+class Pieces(dict):
+    """Ids by piece of text, made when first asked for and forgotten all at once when full."""
 
-    The memory of pieces is emptied at ``kept`` entries, which changes no result.
-    """
+    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int) -> None:
+        self.make, self.most = make, most
 
-    def __init__(self, vocabulary: Vocabulary, kept: int = 200_000) -> None:
-        self.v, self.kept = vocabulary, kept
-        self.pieces: dict[str, array] = {}
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = self.make(piece)
+        if len(piece) <= 32:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+class Encoder:
+    """Encodes and decodes with one vocabulary; remembers up to ``kept`` pieces."""
+
+    def __init__(self, vocabulary: Vocabulary, kept: int = 400_000) -> None:
+        self.v = vocabulary
+        self.pieces = Pieces(self.piece, kept)
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
     def split(self, piece: bytes) -> list[bytes]:
         """Fragments between byte pairs that no token holds: no token can span such a pair."""
-        cut, start, out = self.v.cut_after, 0, []
-        for at in range(1, len(piece)):
-            if cut[piece[at - 1] << 8 | piece[at]]:
-                out.append(piece[start:at])
-                start = at
-        out.append(piece[start:])
-        return out
+        cut = self.v.cut_after
+        cuts = [at for at, (a, b) in enumerate(zip(piece, piece[1:]), 1) if cut[a << 8 | b]]
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])] if cuts else [piece]
 
-    def merge(self, fragment: bytes) -> tuple[int, ...]:
+    def piece(self, piece: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.merge, self.split(piece.encode()))))
+
+    def merge(self, fragment: bytes) -> list[int]:
         """Applies the lowest-ranked merge, leftmost first, until none is left."""
-        ids, ranks = [self.v.single[b] for b in fragment], self.v.merges
-        while len(ids) > 1:
-            best = min((ranks.get(pair, (1 << 60, 0)) for pair in zip(ids, ids[1:])), default=None)
-            if best is None or best[0] == 1 << 60:
+        if len(fragment) > 64:
+            return self.merge_long(fragment)
+        rank = self.v.merges.get
+        ids = [self.v.single[b] for b in fragment]
+        pairs = [rank(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == _NONE:
                 break
-            out, at, made = [], 0, best[1]
-            while at < len(ids):
-                if at + 1 < len(ids) and ranks.get((ids[at], ids[at + 1])) == best:
-                    out.append(made)
-                    at += 2
-                else:
-                    out.append(ids[at])
-                    at += 1
-            ids = out
-        return tuple(ids)
-
-    def fragment(self, raw: bytes) -> tuple[int, ...]:
-        found = self.fragments.get(raw)
-        if found is None:
-            if len(self.fragments) >= self.kept:
-                self.fragments.clear()
-            found = self.merge(raw) if len(raw) <= 64 else self.merge_long(raw)
-            if len(raw) <= 64:
-                self.fragments[raw] = found
-        return found
-
-    def merge_long(self, raw: bytes) -> tuple[int, ...]:
+            at = pairs.index(best)
+            ids[at] = made = best & (1 << _BITS) - 1
+            del ids[at + 1], pairs[at]
+            if at:
+                pairs[at - 1] = rank(ids[at - 1] << _BITS | made, _NONE)
+            if at < len(pairs):
+                pairs[at] = rank(made << _BITS | ids[at + 1], _NONE)
+        return ids
+
+    def merge_long(self, raw: bytes) -> list[int]:
         """The same result for long fragments, with a heap over a linked list."""
-        from heapq import heapify, heappop, heappush
-
         ids: list[int] = [self.v.single[b] for b in raw]
-        ranks, n = self.v.merges, len(raw)
+        rank, n = self.v.merges.get, len(raw)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*ranks[pair], at, pair) for at, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
-        heap = [(rank, at, made, pair) for rank, made, at, pair in heap]
+        pairs = [a << _BITS | b for a, b in zip(ids, ids[1:])]
+        heap = [(found, at, pair) for at, pair in enumerate(pairs) if (found := rank(pair)) is not None]
         heapify(heap)
         while heap:
-            _, at, made, pair = heappop(heap)
+            best, at, pair = heappop(heap)
             right = after[at]
-            if right >= n or ids[at] != pair[0] or ids[right] != pair[1]:
+            if ids[at] < 0 or right >= n or ids[at] << _BITS | ids[right] != pair:
                 continue
-            ids[at], ids[right] = made, -1
+            ids[at], ids[right] = best & (1 << _BITS) - 1, -1
             after[at] = after[right]
             if after[at] < n:
                 before[after[at]] = at
             for left, middle in ((before[at], at), (at, after[at])):
-                if left >= 0 and middle < n and (new := ranks.get((ids[left], ids[middle]))):
-                    heappush(heap, (new[0], left, new[1], (ids[left], ids[middle])))
-        return tuple(i for i in ids if i >= 0)
-
-    def piece(self, piece: str) -> array:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= self.kept:
-                self.pieces.clear()
-            found = array("I", chain.from_iterable(map(self.fragment, self.split(piece.encode()))))
-            if len(piece) <= 64:
-                self.pieces[piece] = found
-        return found
+                if left >= 0 and middle < n:
+                    pair = ids[left] << _BITS | ids[middle]
+                    if (new := rank(pair)) is not None:
+                        heappush(heap, (new, left, pair))
+        return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> array:
+        ids = self.pieces.__getitem__
+        if not self.special or not self.special.search(text):
+            return array("I", chain.from_iterable(map(ids, self.find(text))))
         out = array("I")
-        known, piece = self.pieces.get, self.piece
-        for k, part in enumerate(self.special.split(text) if self.special else (text,)):
-            if k % 2:
-                out.append(self.v.special[part])
-            else:
-                for p in self.find(part):
-                    out += known(p) or piece(p)
+        for k, part in enumerate(self.special.split(text)):
+            out.extend([self.v.special[part]] if k % 2 else chain.from_iterable(map(ids, self.find(part))))
         return out
 
     def decode(self, ids: array) -> str:
-        tokens = self.v.tokens
-        return b"".join([tokens[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.v.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,16 +169,13 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(spark, tokenizer))
-    made: list[Encoder] = []
 
     def work(batch) -> dict[str, object]:
-        if not made:
-            made.append(Encoder(shared.value))
-        ids, decoded = [], []
+        encoder, ids, decoded = shared.value.encoder(), [], []
         for value in batch.column(1).to_pylist():
-            found = made[0].encode(value or "")
+            found = encoder.encode(value or "")
             ids.append(np.frombuffer(found, np.uint32).astype("<i4"))
-            decoded.append(made[0].decode(found))
+            decoded.append(encoder.decode(found))
         ends = np.cumsum([0, *map(len, ids)])
         flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, "<i4"), pa.int32())
         return {"key": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), "decoded": decoded}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetdelta.llm import bpe, licences, mixing, simhash
+from sheetdelta.llm import bpe, licences, mixing, simhash, substring
 from sheetdelta.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,35 @@ def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, folder, "documents"), path))
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, folder, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+CHECKS["op9_substring_dedup"] = r"""
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), windows as (
+  select doc_id, p, array_to_string(ws[p:p + 49], ' ') as w
+  from (select doc_id, ws, unnest(generate_series(1, len(ws) - 49)) as p from words)
+), earliest as (
+  select w, min(doc_id) as first_id from windows group by w
+), covered as (
+  select distinct doc_id, unnest(generate_series(p, p + 49)) as at
+  from windows join earliest using (w) where first_id < doc_id
+), placed as (
+  select doc_id, unnest(ws) as word, unnest(generate_series(1, len(ws))) as at from words
+), kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by at) as text
+  from placed anti join covered using (doc_id, at) group by doc_id
+)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed,
+  sha256(coalesce(text, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
+
 @query
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(table(spark, folder, "documents"))
