@@ -54,13 +54,13 @@ with words as (
 ), earliest as (
   select w, min(doc_id) as first_id from windows group by w
 ), covered as (
-  select distinct doc_id, unnest(generate_series(p, p + 49)) as at
+  select distinct doc_id, unnest(generate_series(p, p + 49)) as pos
   from windows join earliest using (w) where first_id < doc_id
 ), placed as (
-  select doc_id, unnest(ws) as word, unnest(generate_series(1, len(ws))) as at from words
+  select doc_id, unnest(ws) as word, unnest(generate_series(1, len(ws))) as pos from words
 ), kept as (
-  select doc_id, count(*) as n, string_agg(word, ' ' order by at) as text
-  from placed anti join covered using (doc_id, at) group by doc_id
+  select doc_id, count(*) as n, string_agg(word, ' ' order by pos) as text
+  from placed anti join covered using (doc_id, pos) group by doc_id
 )
 select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed,
   sha256(coalesce(text, '')) as kept_sha256
