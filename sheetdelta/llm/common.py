@@ -28,8 +28,8 @@ def encoded(text: pa.Array) -> list[bytes]:
 
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
     """Maps Arrow batches to columns given as a dict in the order of ``schema``."""
-    names = [part.split()[0] for part in schema.split(",")]
     target = arrow_schema(schema)
+    names = target.names
 
     def run(batches: Batches) -> Batches:
         for batch in batches:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetdelta.llm import bpe, licences, mixing, simhash, substring
+from sheetdelta.llm import bpe, languages, licences, mixing, quality, simhash, substring
 from sheetdelta.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,12 +20,22 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op3_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.language_mixtures(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), words=4, bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(table(spark, folder, "documents"), F.array("source"))
