@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetdelta.llm import bpe, languages, licences, mixing, quality, simhash, substring
+from sheetdelta.llm import bpe, languages, licences, mixing, pages, quality, simhash, substring
 from sheetdelta.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,11 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op2_site_template_removal(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract_pages(table(spark, folder, "pages"))
+
+
 @query
 def op3_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return languages.language_mixtures(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
