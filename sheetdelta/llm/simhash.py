@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetdelta.llm.common import encoded, per_batch, roots
@@ -61,43 +61,68 @@ def _segments(bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _signatures(fps: DataFrame, bits: int) -> DataFrame:
-    """(sig, side, fp): each segment whole, and with each of its bits as a wildcard.
+def _whole(fp: Column, slot: int, low: int, width: int) -> Column:
+    """Signature of a whole segment; those of its wildcards follow it in the upper bits."""
+    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(slot << 32)
+
+
+def _variants(whole: Column, width: int) -> list[Column]:
+    """(sig, side) of a whole segment and of its one-wildcard variants.
 
     ``side`` is the bit under the wildcard, 2 for a whole segment. Segments that differ
     in exactly that bit meet under the wildcard with sides 0 and 1; equal segments meet
     whole. So a pair that shares a segment up to one bit meets once for that segment.
     """
-    fp, parts, slot = F.col("fp"), [], 0
-    for low, width in _segments(bits):
-        mask = (1 << width) - 1
-        segment = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(mask))
-        parts.append(F.struct((F.lit(slot << 32) + segment).alias("sig"), F.lit(2).cast("byte").alias("side")))
-        for bit in range(width):
-            free = segment.bitwiseAND(F.lit(mask & ~(1 << bit)))
-            side = F.shiftrightunsigned(segment, bit).bitwiseAND(F.lit(1)).cast("byte")
-            parts.append(F.struct((F.lit((slot + 1 + bit) << 32) + free).alias("sig"), side.alias("side")))
-        slot += width + 1
+    parts = [F.struct(whole.alias("sig"), F.lit(2).cast("byte").alias("side"))]
+    for bit in range(width):
+        sig = whole.bitwiseAND(F.lit(~(1 << bit))) + F.lit((bit + 1) << 32)
+        parts.append(F.struct(sig.alias("sig"), F.shiftright(whole, bit).bitwiseAND(F.lit(1)).cast("byte").alias("side")))
+    return parts
+
+
+def _slots(bits: int) -> list[tuple[int, int, int]]:
+    """(number of the first signature, lowest bit, width) of each segment."""
+    segments = _segments(bits)
+    return [(sum(w + 1 for _, w in segments[:k]), low, width) for k, (low, width) in enumerate(segments)]
+
+
+def _signatures(fps: DataFrame, bits: int) -> DataFrame:
+    """(sig, side, fp) for every segment and wildcard."""
+    parts = [v for slot, low, width in _slots(bits) for v in _variants(_whole(F.col("fp"), slot, low, width), width)]
     return fps.select("fp", F.explode(F.array(*parts)).alias("s")).select("s.sig", "s.side", "fp")
 
 
+def _large_signatures(fps: DataFrame, bits: int, block: int) -> DataFrame:
+    """(sig, blocks) of every signature that may have more than ``block`` members.
+
+    A wildcard joins two values of its segment, so it is large only if one of them has
+    more than half a block; counting whole segments is enough.
+    """
+    found = None
+    for slot, low, width in _slots(bits):
+        heavy = fps.groupBy(_whole(F.col("fp"), slot, low, width).alias("whole")).agg(F.count("*").alias("n"))
+        heavy = heavy.filter(F.col("n") > block // 2)
+        sigs = heavy.select("n", F.explode(F.array(*_variants(F.col("whole"), width))).alias("s")).select("s.sig", "n")
+        found = sigs if found is None else found.unionByName(sigs)
+    sizes = found.groupBy("sig").agg(F.sum("n").alias("n"))
+    return cut(sizes.select("sig", F.ceil((F.col("n") + block // 2) / block).cast("int").alias("blocks")))
+
+
 def _compare(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked fingerprints of two short lists."""
     return np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= bits)
 
 
-def _dealt(signatures: DataFrame, block: int) -> DataFrame:
-    """Signatures that can link something, their members dealt to pairs of blocks.
+def _dealt(signatures: DataFrame, large: DataFrame) -> DataFrame:
+    """Signatures with the cell that compares their members.
 
-    A signature with at most ``block`` members is one cell. A larger one is cut by a hash
-    of the fingerprint into blocks, and each member goes to the cells that pair its block
-    with every block, so that no task ever holds a whole large signature.
+    A signature of usual size is one cell. A large one is cut by a hash of the fingerprint
+    into blocks, and each member goes to the cells that pair its block with every block,
+    so that no task ever holds a whole large signature.
     """
-    sizes = signatures.groupBy("sig").agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
-    sizes = sizes.filter("n > 1 and (low = 2 or low < high)").select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = signatures.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    dealt = signatures.join(large, "sig", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp"), "blocks").cast("int"), F.lit(0)))
     cells = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
+        F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1),
         lambda other: F.least("own", other).cast("long") * (1 << 31) + F.greatest("own", other).cast("long"),
     )
     return dealt.select("sig", F.explode(cells).alias("cell"), "own", "side", "fp")
@@ -110,7 +135,7 @@ def link_signatures(fps: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFr
     a connected set of a cell is returned as links to its smallest member, one row per
     fingerprint and cell at most, so dense groups cost rows in proportion to their size.
     """
-    cells = _dealt(_signatures(fps, bits), block).repartition("sig", "cell").sortWithinPartitions("sig", "cell")
+    cells = _dealt(_signatures(fps, bits), _large_signatures(fps, bits, block)).repartition("sig", "cell").sortWithinPartitions("sig", "cell")
 
     def linked(own: np.ndarray, side: np.ndarray, fp: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
         fp = fp.view(np.uint64)
@@ -174,7 +199,7 @@ def near_duplicates(
     no name; repeated rows keep a row each. Other columns are not read.
     """
     prints = cut(fingerprints(docs, key, text, words))
-    folded = prints.groupBy("fp").agg(F.min(key).alias("first"))
+    folded = cut(prints.groupBy("fp").agg(F.min(key).alias("first")))
     joined = components(link_signatures(folded.select("fp"), bits, block))
     classes = folded.join(joined, folded.fp == joined.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
