@@ -143,7 +143,8 @@ class Block:
 def blocks(scope: Element) -> list[Block]:
     """Text blocks in page order, each with the hashes of the subtrees it lies in.
 
-    The hash of a subtree covers its element names and texts. The scope itself is none.
+    The hash of a subtree covers its element name and texts. The scope itself is none. A
+    header inside an article may hold its headline; one of the page does not.
     """
     out: list[Block] = []
     run: list[str] = []
@@ -174,7 +175,7 @@ def blocks(scope: Element) -> list[Block]:
             run.append(" ")
         elif item.dropped:
             continue
-        elif item.name in DROPPED and not (item.name == "header" and _holds_heading(item)):
+        elif item.name in DROPPED and not (scope.article and item.name == "header" and _holds_heading(item)):
             continue
         else:
             if item.name in BLOCK:
@@ -195,7 +196,6 @@ def main_blocks(source: str) -> list[Block]:
     if found:
         return max(found, key=lambda bs: sum(len(b.text) for b in bs))
     mains = [e for e in _elements(root) if e.name == "main"]
-    # outside an article, page headers hold no part of the text
     return blocks(mains[0] if mains else root)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetdelta.llm import bpe, languages, licences, mixing, pages, quality, simhash, substring
+from sheetdelta.llm import bpe, covertree, languages, licences, mixing, pages, quality, simhash, substring, vptree
 from sheetdelta.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,27 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_vptree_search(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return vptree.nearest(rows, rows.filter("vec_id % 100 = 0"), k=10)
+
+
+CHECKS["op1_vptree_search"] = """
+with usable as (
+  select vec_id, embedding::double[] as v from embeddings
+  where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), gaps as (
+  select q.vec_id as query_id, r.vec_id, list_distance(q.v, r.v) as score
+  from usable q join usable r on q.vec_id <> r.vec_id where q.vec_id % 100 = 0
+)
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score, vec_id) as rank from gaps
+) where rank <= 10
+"""
+
+
 @query
 def op2_site_template_removal(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract_pages(table(spark, folder, "pages"))
@@ -36,6 +57,30 @@ def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_covertree_components(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.near_duplicate_vectors(table(spark, folder, "embeddings"), cosine=0.93)
+
+
+CHECKS["op5_covertree_components"] = """
+with recursive usable as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) as (
+  select vec_id, vec_id from embeddings union select reach.a, links.b from reach join links on reach.b = links.a
+), counted as (
+  select a, count(*) as n from links group by a
+)
+select vec_id, coalesce(n, 0)::bigint as n_links, root::bigint as component_id, root = vec_id as kept
+from embeddings join (select a, min(b) as root from reach group by a) r on r.a = vec_id
+left join counted c on c.a = vec_id
+"""
+
+
 @query
 def op6_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
