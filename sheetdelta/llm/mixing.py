@@ -144,7 +144,7 @@ def mix(
     patterns = spark.createDataFrame(
         facts, "pattern string, pattern_size long, tokens long, stretches long, sources array<struct<name:string,size:long,target:double>>",
     )
-    dealt = sized.join(patterns, "pattern").withColumn("stretch", F.expr("pmod(shiftright(turn, 16), stretches)"))
+    dealt = sized.join(F.broadcast(patterns), "pattern").withColumn("stretch", F.expr("pmod(shiftright(turn, 16), stretches)"))
     # the seeded order is by stretch, then by turn within it
     from pyspark.sql import Window as W
 
