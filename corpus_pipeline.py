@@ -1,4 +1,4 @@
-"""The corpus pipeline: filter, near copies, repeated passages, mixture, tokens."""
+"""The corpus pipeline: good documents, one of each near copy, no repeated passages, a mix of sources, tokens."""
 
 from __future__ import annotations
 
@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetdelta.llm import bpe, mixing, simhash
+from sheetdelta.llm import bpe, mixing, quality, simhash, substring
 from sheetdelta.llm.common import table
 from sheetdelta.session import cut
 
-#: Near-duplicate stages work on shingles of so many words.
+#: Near copies are found on shingles of so many words.
 SHINGLE = 5
+#: Words of a passage that counts as repeated.
+WINDOW = 50
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that the quality classifier rejects."""
+    return quality.without_poor(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,18 +26,25 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs, words=SHINGLE)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes words out of texts that a passage of an earlier document covers."""
+    return substring.without_repeats(docs, window=WINDOW).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     return mixing.mixed_rows(docs, F.array("source"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and whether they decode to its text."""
+    """Token ids of every document, and the text they decode to."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
+    ("quality", good_documents),
     ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
     ("mixture", mixture),
     ("tokens", tokens),
 ]

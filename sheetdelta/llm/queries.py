@@ -54,7 +54,7 @@ def op3_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), words=4, bits=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("lane0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,15 @@ from sheetdelta.session import cut
 BLOCK = 512
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Majority bits of the hashes of all shingles of ``words`` words, repeats included."""
+# Fixed value: odd multiplier that makes further lanes of a fingerprint from one hash.
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
+    """Majority bits of the hashes of all shingles of ``words`` words, repeats included; 64 per lane."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return [0] * lanes
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
@@ -31,7 +36,11 @@ def fingerprint(text: bytes, words: int) -> int:
     last = max(1, len(parts) - words + 1)
     stop = ends[words - 1 :] if len(parts) >= words else ends[-1:]
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:last], stop)), np.uint64, last)
-    return _majority(hashes)
+    out = []
+    for _ in range(lanes):
+        out.append(_majority(hashes))
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+    return out
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -42,23 +51,31 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """(key, fp) of every row; the fingerprint is kept as the signed long with the same bits."""
+def lane_names(lanes: int) -> list[str]:
+    return [f"lane{k}" for k in range(lanes)]
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
+    """(key, lane0, ...) of every row; a lane is the signed long with the same 64 bits."""
+    names = lane_names(lanes)
 
     def work(batch) -> dict[str, object]:
-        found = np.array([fingerprint(t, words) for t in encoded(batch.column(1))], np.uint64)
-        return {"key": batch.column(0), "fp": pa.array(found.view(np.int64))}
+        found = np.array([fingerprint(t, words, lanes) for t in encoded(batch.column(1))], np.uint64).view(np.int64)
+        return {"key": batch.column(0)} | {n: pa.array(found[:, k]) for k, n in enumerate(names)}
 
     kind = docs.schema[key].dataType.simpleString()
-    found = per_batch(docs.select(key, F.col(text).cast("string")), work, f"key {kind}, fp long")
-    return found.withColumnRenamed("key", key)
+    schema = ", ".join([f"key {kind}", *(f"{n} long" for n in names)])
+    return per_batch(docs.select(key, F.col(text).cast("string")), work, schema).withColumnRenamed("key", key)
 
 
-def _segments(bits: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of the fewest segments of which one differs by at most one bit: bits // n <= 1."""
-    n = bits // 2 + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def _segments(lanes: int, per_lane: int) -> list[tuple[str, int, int, int]]:
+    """(lane, number of its first signature, lowest bit, width) of each segment."""
+    edges, out, slot = [64 * k // per_lane for k in range(per_lane + 1)], [], 0
+    for lane in lane_names(lanes):
+        for low, high in zip(edges, edges[1:]):
+            out.append((lane, slot, low, high - low))
+            slot += high - low + 1
+    return out
 
 
 def _whole(fp: Column, slot: int, low: int, width: int) -> Column:
@@ -80,27 +97,21 @@ def _variants(whole: Column, width: int) -> list[Column]:
     return parts
 
 
-def _slots(bits: int) -> list[tuple[int, int, int]]:
-    """(number of the first signature, lowest bit, width) of each segment."""
-    segments = _segments(bits)
-    return [(sum(w + 1 for _, w in segments[:k]), low, width) for k, (low, width) in enumerate(segments)]
+def _signatures(fps: DataFrame, segments: list[tuple[str, int, int, int]]) -> DataFrame:
+    """(sig, side) beside the columns of ``fps``, for every segment and wildcard."""
+    parts = [v for lane, slot, low, width in segments for v in _variants(_whole(F.col(lane), slot, low, width), width)]
+    return fps.select("*", F.explode(F.array(*parts)).alias("s")).select("s.sig", "s.side", *fps.columns)
 
 
-def _signatures(fps: DataFrame, bits: int) -> DataFrame:
-    """(sig, side, fp) for every segment and wildcard."""
-    parts = [v for slot, low, width in _slots(bits) for v in _variants(_whole(F.col("fp"), slot, low, width), width)]
-    return fps.select("fp", F.explode(F.array(*parts)).alias("s")).select("s.sig", "s.side", "fp")
-
-
-def _large_signatures(fps: DataFrame, bits: int, block: int) -> DataFrame:
+def _large_signatures(fps: DataFrame, segments: list[tuple[str, int, int, int]], block: int) -> DataFrame:
     """(sig, blocks) of every signature that may have more than ``block`` members.
 
     A wildcard joins two values of its segment, so it is large only if one of them has
     more than half a block; counting whole segments is enough.
     """
     found = None
-    for slot, low, width in _slots(bits):
-        heavy = fps.groupBy(_whole(F.col("fp"), slot, low, width).alias("whole")).agg(F.count("*").alias("n"))
+    for lane, slot, low, width in segments:
+        heavy = fps.groupBy(_whole(F.col(lane), slot, low, width).alias("whole")).agg(F.count("*").alias("n"))
         heavy = heavy.filter(F.col("n") > block // 2)
         sigs = heavy.select("n", F.explode(F.array(*_variants(F.col("whole"), width))).alias("s")).select("s.sig", "n")
         found = sigs if found is None else found.unionByName(sigs)
@@ -108,9 +119,9 @@ def _large_signatures(fps: DataFrame, bits: int, block: int) -> DataFrame:
     return cut(sizes.select("sig", F.ceil((F.col("n") + block // 2) / block).cast("int").alias("blocks")))
 
 
-def _compare(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked fingerprints of two short lists."""
-    return np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= bits)
+def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits; the last axis holds the lanes."""
+    return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int16)
 
 
 def _dealt(signatures: DataFrame, large: DataFrame) -> DataFrame:
@@ -120,36 +131,35 @@ def _dealt(signatures: DataFrame, large: DataFrame) -> DataFrame:
     into blocks, and each member goes to the cells that pair its block with every block,
     so that no task ever holds a whole large signature.
     """
-    dealt = signatures.join(large, "sig", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp"), "blocks").cast("int"), F.lit(0)))
+    dealt = signatures.join(large, "sig", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.lit(0)))
     cells = F.transform(
         F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1),
         lambda other: F.least("own", other).cast("long") * (1 << 31) + F.greatest("own", other).cast("long"),
     )
-    return dealt.select("sig", F.explode(cells).alias("cell"), "own", "side", "fp")
+    return dealt.select("sig", F.explode(cells).alias("cell"), "own", "side", *(c for c in signatures.columns if c not in ("sig", "side")))
 
 
-def link_signatures(fps: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect exactly the fingerprints that differ by at most ``bits`` bits.
+def link_signatures(fps: DataFrame, bits: int, lanes: int, per_lane: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect fingerprints that differ by at most ``bits`` bits and share a signature.
 
-    ``fps`` holds distinct fingerprints in ``fp``. Within each cell all pairs are verified;
-    a connected set of a cell is returned as links to its smallest member, one row per
-    fingerprint and cell at most, so dense groups cost rows in proportion to their size.
+    ``fps`` holds distinct fingerprints, an ``id`` (long) and their lanes. With more segments than
+    half the bits, one of them differs by at most one bit, so every such pair shares a
+    signature. Within each cell all pairs are verified; a connected set of a cell is
+    returned as links to its smallest member, one row per fingerprint and cell at most, so
+    dense groups cost rows in proportion to their size.
     """
-    cells = _dealt(_signatures(fps, bits), _large_signatures(fps, bits, block)).repartition("sig", "cell").sortWithinPartitions("sig", "cell")
+    segments, names = _segments(lanes, per_lane), lane_names(lanes)
+    cells = _dealt(_signatures(fps, segments), _large_signatures(fps, segments, block))
+    cells = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell")
 
     def linked(own: np.ndarray, side: np.ndarray, fp: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
-        fp = fp.view(np.uint64)
         first = side == 0 if side[0] != 2 else np.ones(len(fp), bool)
         second = side == 1 if side[0] != 2 else first
-        if diagonal:
-            rows, columns = np.flatnonzero(first), np.flatnonzero(second)
-            i, j = _compare(fp[rows], fp[columns], bits)
-            return rows[i], columns[j]
-        found = []
         low = own == own.min()
-        for mine, theirs in ((low, ~low), (~low, low)):
-            rows, columns = np.flatnonzero(first & mine), np.flatnonzero(second & theirs)
-            i, j = _compare(fp[rows], fp[columns], bits)
+        found = []
+        for mine, theirs in ((first, second),) if diagonal else ((first & low, second & ~low), (first & ~low, second & low)):
+            rows, columns = np.flatnonzero(mine), np.flatnonzero(theirs)
+            i, j = np.nonzero(_distances(fp[rows][:, None], fp[columns][None, :]) <= bits)
             found.append((rows[i], columns[j]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
@@ -163,60 +173,81 @@ def link_signatures(fps: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFr
             sig, cell = now["sig"].to_numpy(), now["cell"].to_numpy()
             edges = np.flatnonzero((np.diff(sig) != 0) | (np.diff(cell) != 0)) + 1
             if len(edges):
-                yield from work(now.slice(0, edges[-1]), np.concatenate([[0], edges]))
+                yield work(now.slice(0, edges[-1]), np.concatenate([[0], edges]))
                 now = now.slice(edges[-1])
             rest = now
         if rest is not None:
-            yield from work(rest, np.array([0, rest.num_rows]))
+            yield work(rest, np.array([0, rest.num_rows]))
 
-    def work(part: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(part: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
         """Cells of two rows are compared all at once, larger ones each on its own."""
-        own, side, fp, cell = (part[n].to_numpy() for n in ("own", "side", "fp", "cell"))
+        own, side, ids, cell = (part[n].to_numpy() for n in ("own", "side", "id", "cell"))
+        fp = np.stack([part[n].to_numpy() for n in names], axis=1).view(np.uint64)
         size = np.diff(edges)
         two = edges[:-1][size == 2]
-        close = np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= bits
-        out = [(fp[two[close]], fp[two[close] + 1])]
+        close = two[_distances(fp[two], fp[two + 1]) <= bits]
+        out = [(ids[close], ids[close + 1])]
         for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist()):
             i, j = linked(own[a:b], side[a:b], fp[a:b], cell[a] >> 31 == cell[a] & 0x7FFFFFFF)
             if len(i):
                 root = roots(i, j, b - a)
                 moved = np.flatnonzero(root != np.arange(b - a))
-                out.append((fp[a:b][moved], fp[a:b][root[moved]]))
+                out.append((ids[a:b][moved], ids[a:b][root[moved]]))
         left, right = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return cells.mapInArrow(scan, "a long, b long").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, block: int = BLOCK,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, lanes: int = 1,
+    per_lane: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
-    """Fingerprint and component of every row: key, fp, component_id.
-
-    Equal fingerprints are folded first, so copies cost one fingerprint. The component is
-    the smallest key reachable. Null and empty texts have fingerprint zero and link like
-    any other; rows with a null key join the component of their fingerprint and offer it
-    no name; repeated rows keep a row each. Other columns are not read.
+    """Fingerprint and component of every row: key, lane0 (and further lanes), component_id.
+
+    Equal fingerprints are folded first, so copies cost one fingerprint. ``per_lane``
+    segments of each lane are indexed; by default so many that no pair within ``bits`` is
+    missed. The component is the smallest key reachable. Null and empty texts have
+    fingerprint zero and link like any other; rows with a null key join the component of
+    their fingerprint and offer it no name; repeated rows keep a row each. Other columns
+    are not read.
     """
-    prints = cut(fingerprints(docs, key, text, words))
-    folded = cut(prints.groupBy("fp").agg(F.min(key).alias("first")))
-    joined = components(link_signatures(folded.select("fp"), bits, block))
-    classes = folded.join(joined, folded.fp == joined.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    names = lane_names(lanes)
+    per_lane = per_lane or -(-(bits // 2 + 1) // lanes)
+    prints = cut(fingerprints(docs, key, text, words, lanes))
+    own = F.col("lane0") if lanes == 1 else F.xxhash64(*names)
+    folded = cut(prints.groupBy(*names).agg(F.min(key).alias("first")).withColumn("id", own))
+    joined = components(link_signatures(folded.select("id", *names), bits, lanes, per_lane, block))
+    classes = folded.join(joined, folded.id == joined.node, "left").select(*names, "first", F.coalesce("root", "id").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = classes.join(named, "root").select("fp", "component_id")
-    return prints.join(members, "fp").select(key, "fp", "component_id")
+    members = classes.join(named, "root").select(*names, "component_id")
+    return prints.join(members, names).select(key, *names, "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: the row of its smallest key.
+def bits_at(similarity: float, width: int) -> int:
+    """Bits by which fingerprints of a Jaccard similarity are expected to differ.
 
-    Rows with a null key are kept, as nothing names their copy; repeated rows with that
-    key stay together.
+    A bit differs with the angle between the shingle vectors over pi; sets of equal size
+    with similarity j have the cosine 2j / (1 + j).
+    """
+    return int(width * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 2, per_lane: int = 3,
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the row of its smallest key.
+
+    Fingerprints of 64 x ``lanes`` bits estimate the similarity of the shingle sets; those
+    within the bits expected at ``similarity`` are near copies if one of their segments
+    differs by at most one bit. A longer fingerprint estimates better than 64 bits, and
+    its segments stay wide enough to be selective; not every pair at the threshold itself shares
+    one. Texts without a word are copies of each other. Rows with a null key are kept, as
+    nothing names their copy; repeated rows with the key that stays remain.
     """
-    kept = near_duplicates(docs.filter(F.col(key).isNotNull()), key, text, words, bits)
-    kept = kept.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
+    keyed = docs.filter(F.col(key).isNotNull())
+    found = near_duplicates(keyed, key, text, words, bits_at(similarity, 64 * lanes), lanes, per_lane)
+    kept = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
     return docs.join(kept, docs[key] == kept["_kept"], "left").filter(
         F.col("_kept").isNotNull() | F.col(key).isNull()
     ).drop("_kept")
