@@ -17,8 +17,8 @@ from sheetdelta.session import cut
 #: Words of the gram that anchors a window.
 GRAM = 12
 #: Words of one shard's index, about.
-SHARD_WORDS = 400_000
-#: Different passages of one anchor that a shard takes whole; more are dealt out window by window.
+SHARD_WORDS = 250_000
+#: Different passages of one anchor that one shard takes; where there are more, they are cut to single windows.
 DENSE = 2_000
 
 # Odd multipliers of the 64-bit rolling and mixing hashes.
@@ -103,41 +103,53 @@ def _all_passages(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _spread(found: DataFrame, docs: DataFrame, window: int, shards: int, dense: int) -> DataFrame:
-    """(shard, anchor, content, key, at, words): the words of each passage, by shard.
+    """(shard, anchor, content, key, at, words, window): the words of each passage, by shard.
 
-    Passages of an anchor go to one shard. Where an anchor has more than ``dense`` different
-    passages, single windows are dealt out by their own hash: equal windows still meet.
+    Passages of an anchor go to one shard. Those of an anchor with more than ``dense``
+    different passages are cut to single windows, which carry their hash and no words:
+    passages of one window need no index, as equal ones fold.
     """
     wanted = found.groupBy("key", "row").agg(F.collect_list(F.struct("anchor", "content", "start", "n", "variants")).alias("wanted"))
     texts = docs.filter("key is not null").select("key", _row(), "text").dropDuplicates(["key", "row"])
     joined = texts.join(wanted, ["key", "row"]).select("key", "text", "wanted")
     kind = docs.schema["key"].dataType.simpleString()
-    schema = f"shard int, anchor long, content long, key {kind}, at int, words binary"
+    schema = f"shard int, anchor long, content long, key {kind}, at int, words binary, window long"
     target = arrow_schema(schema)
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
             for key, text, wanted in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), batch.column(2).to_pylist()):
                 hashes = word_hashes(text.split())
+                slices = Slices(hashes)
                 for w in wanted:
-                    start, end = w["start"], w["start"] + w["n"] + window - 1
+                    start, n = w["start"], w["n"]
                     if w["variants"] <= dense:
-                        shard = w["anchor"] % shards
-                        out.append((shard, w["anchor"], w["content"], key, 0, hashes[start:end].tobytes()))
+                        words = hashes[start : start + n + window - 1].tobytes()
+                        out.append((w["anchor"] % shards, w["anchor"], w["content"], key, 0, words, None))
                     else:
-                        for at in range(w["n"]):
-                            raw = hashes[start + at : start + at + window].tobytes()
-                            out.append((xxhash.xxh64_intdigest(raw) % shards, w["anchor"], w["content"], key, at, raw))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
+                        at = np.arange(start, start + n)
+                        for k, own in enumerate(slices.of(at, at + window).view(np.int64).tolist()):
+                            out.append((-1, w["anchor"], w["content"], key, k, None, own))
+                    if len(out) > 4096:
+                        yield made(out)
+                        out = []
+        if out:
+            yield made(out)
 
     return joined.mapInArrow(work, schema)
 
 
+def _folded_windows(spread: DataFrame) -> DataFrame:
+    """(anchor, content, at, n) of single windows that a smaller key holds too."""
+    windows = spread.filter("shard < 0").select("anchor", "content", "key", "at", "window")
+    owners = windows.groupBy("window").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter("owner < last")
+    return windows.join(owners, "window").filter("key > owner").select("anchor", "content", "at", F.lit(1).alias("n"))
+
+
 def _search(spread: DataFrame, window: int) -> DataFrame:
     """(anchor, content, at, n): windows of a passage that a passage of a smaller key holds."""
 
@@ -182,7 +194,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM, dense:
     several = folded.filter("variants > 1").select("anchor", "content", F.col("owner").alias("key"), "place.*", "variants")
     words = several.agg(F.sum(F.col("n") + window)).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
-    matched = _search(_spread(several, docs, window, shards, dense).repartition(shards, "shard"), window)
+    spread = cut(_spread(several, docs, window, shards, dense))
+    matched = _search(spread.filter("shard >= 0").drop("window"), window).unionByName(_folded_windows(spread))
     matched = cut(matched.groupBy("anchor", "content").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
     facts = folded.join(matched, ["anchor", "content"], "left").filter("owner < last or runs is not null").select(
         "anchor", "content", "owner", "runs")
