@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetdelta import config as C
@@ -36,8 +36,12 @@ def union_sources(ui: DataFrame | None, agent: DataFrame | None, only: str | Non
 def _newest_first() -> tuple[Column, list[Column]]:
     """Bucket and order for newest first; dates are ordered as text, ui before mcp, older appends first."""
     later = F.when(F.col("source") == "ui", 0).otherwise(1)
-    # a prefix of the date text follows the order: one bucket per minute
-    bucket = F.substring("date", 1, 16)
+    # a prefix of the date text follows the order: one bucket per minute; undated runs are cut by their place
+    undated = F.col("date") == ""
+    bucket = F.struct(
+        F.substring("date", 1, 16).alias("minute"), F.when(undated, -later).alias("store"),
+        F.when(undated, F.floor(-F.col("append_pos") / 4096)).alias("block"),
+    )
     return bucket, [F.col("date"), -later, -F.col("append_pos")]
 
 
@@ -50,8 +54,12 @@ def number_runs(runs: DataFrame) -> DataFrame:
 
 def latest_runs(runs: DataFrame, limit: int) -> DataFrame:
     """Newest runs with their position over the full list; 0 keeps all."""
-    numbered = number_runs(runs)
-    return numbered if limit <= 0 else numbered.filter(F.col("index") <= limit)
+    if limit <= 0:
+        return number_runs(runs)
+    order = [c.desc() for c in _newest_first()[1]]
+    # the first ``limit`` rows only
+    top = Window.partitionBy(F.lit(1)).orderBy(*order)
+    return runs.orderBy(*order).limit(limit).withColumn("index", F.row_number().over(top).cast("long"))
 
 
 def find_run(runs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -68,11 +76,8 @@ def find_run(runs: DataFrame, refs: DataFrame) -> DataFrame:
 
 def retain_last(runs: DataFrame, cap: int = C.HISTORY_CAP) -> DataFrame:
     """The ``cap`` rows appended last in each store."""
-    place = running(
-        runs, ["source"], F.floor(F.col("append_pos") / 4096), [F.col("append_pos")],
-        {"_from_end": Scan(F.lit(1).cast("long"), reverse=True)},
-    )
-    return place.filter(F.col("_from_end") <= cap).drop("_from_end")
+    last = lambda store: runs.filter(F.col("source") == store).orderBy(F.col("append_pos").desc()).limit(cap)
+    return last("ui").unionByName(last("mcp"))
 
 
 def retained_jobs(jobs: DataFrame, now: Column, keep: int = C.RETAINED_JOBS, days: int = C.RETENTION_DAYS) -> DataFrame:

@@ -14,14 +14,20 @@ from sheetdelta.operators.ordered import position
 CACHE_KEYS = ("provider", "model", "lang", "prompt_version", "seq")
 
 
+def _newest(rows: DataFrame, keys: Sequence[str], body: Sequence[str]) -> DataFrame:
+    """One row per key: the one with the newest ``updated`` stamp if there is such a column, ties by content."""
+    own = F.struct(*body)
+    stamp = F.struct(F.col("updated"), own) if "updated" in rows.columns else own
+    return rows.groupBy(*keys).agg(F.max_by(own, stamp).alias("_newest")).select(*keys, "_newest.*")
+
+
 def reuse_cached(rows: DataFrame, analysis: DataFrame, keys: Sequence[str] = CACHE_KEYS) -> DataFrame:
     """Cache state of every row: ``hit``, ``stale`` (other inputs than then) or ``miss``.
 
-    An entry without text never counts.
+    An entry without text never counts; of several entries for one key the newest does.
     """
-    usable = analysis.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select(
-        *keys, F.col("fingerprint").alias("cached_fingerprint"), "text"
-    )
+    entries = analysis.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    usable = _newest(entries, keys, ["fingerprint", "text"]).withColumnRenamed("fingerprint", "cached_fingerprint")
     joined = rows.join(usable, list(keys), "left")
     state = (
         F.when(F.col("cached_fingerprint").isNull(), "miss")
@@ -31,10 +37,12 @@ def reuse_cached(rows: DataFrame, analysis: DataFrame, keys: Sequence[str] = CAC
 
 
 def apply_overrides(zones: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Manual class over the AI class; unknown classes are ignored, the AI value is kept."""
-    valid = overrides.filter(F.col("classification").isin(*C.ZONE_CLASSES)).select(
-        "zone_key", F.col("classification").alias("manual_classification")
-    )
+    """Manual class over the AI class; unknown classes are ignored, the AI value is kept.
+
+    Of several overrides for one zone the newest counts.
+    """
+    known = overrides.filter(F.col("classification").isin(*C.ZONE_CLASSES))
+    valid = _newest(known, ["zone_key"], ["classification"]).withColumnRenamed("classification", "manual_classification")
     joined = zones.withColumnRenamed("classification", "ai_classification").join(valid, "zone_key", "left")
     return joined.withColumn("classification", F.coalesce("manual_classification", "ai_classification"))
 

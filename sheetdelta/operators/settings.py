@@ -16,12 +16,12 @@ def resolve_settings(
 ) -> DataFrame:
     """Settings of every sheet: its own, else those of the call, else of the run, else the fixed ones.
 
-    Overrides are folded to one row per sheet first; ``override_problems`` lists
-    doubles. Neither side is broadcast by hand: both grow with the sheets.
+    Overrides are folded to one row per sheet first, doubles to the greatest value, so
+    that reruns agree; ``override_problems`` lists them. Neither side is broadcast by hand: both grow with the sheets.
     """
     call = call or {}
     fixed = {"dpi": C.DEFAULT_DPI, "diff_strictness": C.DEFAULT_STRICTNESS, "stroke_tol": C.DEFAULT_TOLERANCE_PX}
-    own = overrides.groupBy(*run, "seq").agg(*[F.first(n, ignorenulls=True).alias(f"own_{n}") for n in fixed])
+    own = overrides.groupBy(*run, "seq").agg(*[F.max(n).alias(f"own_{n}") for n in fixed])
     defaults = run_defaults.select(*run, *[F.col(n).alias(f"run_{n}") for n in fixed])
     joined = rows.join(own, [*run, "seq"], "left").join(defaults, list(run), "left")
     resolved = {

@@ -150,13 +150,11 @@ def s2(v):
     body = v.table("orders").groupBy("o_custkey").agg(
         F.to_json(F.struct(F.concat(F.lit("a"), F.first("o_custkey").cast("string")).alias("file_a"), F.sort_array(F.collect_list(pair)).alias("pairs"))).alias("value")
     )
-    path = scratch_path(v.spark, "summaries")
-    body.select("value").write.text(path + "/summary_parts")
-    # one document per line stands for one file per run folder; the folder rules are tested on real files
-    text = v.spark.read.text(path + "/summary_parts")
-    read = text.select(F.from_json("value", "file_a string, pairs string").alias("s")).select("s.*")
-    pairs = readers.explode_pairs(read.withColumn("run_dir", F.concat(F.lit("run_"), F.substring("file_a", 2, 20))))
-    return pairs.groupBy(F.col("run_dir").alias("run")).agg(F.count("*").alias("n_pairs"), F.min("seq").alias("first_seq"))
+    root = scratch_path(v.spark, "summaries")
+    # summaries of many runs are kept one per line in the run store; each line is one run's document
+    body.select("value").write.text(root)
+    pairs = readers.explode_pairs(readers.read_summary_lines(v.spark, root), keys=("file_a",))
+    return pairs.groupBy(F.concat(F.lit("run_"), F.substring("file_a", 2, 20)).alias("run")).agg(F.count("*").alias("n_pairs"), F.min("seq").alias("first_seq"))
 
 
 def _matches(v):

@@ -16,6 +16,7 @@ from sheetdelta.session import cut
 from sheetdelta.sources.testviews import view_ctes
 
 _S = view_ctes("sheets").rstrip()
+_LONG = view_ctes("sheets_long").rstrip()
 
 # score of two sheets, written out per pair
 _PAIR = """
@@ -32,12 +33,21 @@ judged as (select *, ratio >= 0.96 and gap <= 0.015 as same_size, gap <= 0.015 a
     greatest(0e0, least(1e0, case when tn_a > 0 or tn_b > 0 then 0.72 * vis + 0.28 * txt else vis end
       + case mk when 'same' then 0.20 when 'digits' then 0.08 when 'conflict' then -0.22 else 0 end)) as score from scored)"""
 _DIAGONAL = _S + "," + _PAIR.format(on="and a.idx = b.idx")
-_ALL = _S + "," + _PAIR.format(on="") + """,
+_CAND = "," + _PAIR.format(on="") + """,
 ids as (select doc_pair, rev, drawing_id from sheets where drawing_id is not null group by all having count(*) = 1),
 cand as (select j.doc_pair, a_idx, b_idx, same_size or cross_size or (x.drawing_id is not null and y.drawing_id is not null and ia = ib and shared >= 20) as ok,
     round(case when x.drawing_id is not null and y.drawing_id is not null and ia = ib and shared >= 20 then greatest(score, 0.95) else score end, 9) as sim
   from judged j left join ids x on x.doc_pair = j.doc_pair and x.rev = 'A' and x.drawing_id = ia
     left join ids y on y.doc_pair = j.doc_pair and y.rev = 'B' and y.drawing_id = ib)"""
+_ALL = _S + _CAND
+
+# edges by falling score; an edge is taken when none of its sheets is taken yet
+_GREEDY = """,
+sorted_edges as (select doc_pair, list({'a': a_idx, 'b': b_idx, 's': sim} order by sim desc, a_idx, b_idx) as l
+  from cand where ok and sim >= 0.55 group by doc_pair),
+greedy as (select doc_pair, unnest(list_reduce(list_transform(l, lambda e: [e]), lambda took, e:
+    case when len(list_filter(took, lambda t: t.a = e[1].a or t.b = e[1].b)) > 0 then took else took || e end)) as e from sorted_edges)
+select doc_pair, e.a as a_idx, e.b as b_idx, e.s as sim from greedy"""
 
 
 def diagonal(v):
@@ -89,8 +99,8 @@ def p21(v):
     )
 
 
-def tiles_of(v):
-    return S.similarity_tiles(v.sheets())
+def tiles_of(v, base="sheets_base"):
+    return S.similarity_tiles(v.sheets(base))
 
 
 @query("j1_candidate_pairs", _ALL + """
@@ -125,11 +135,16 @@ def a14(v):
     return v.sheets().filter("drawing_id is not null").groupBy("doc_pair", "rev", "drawing_id").agg(F.count("*").alias("n"))
 
 
-@query("m1_match_global")
+@query("m1_match_global", _ALL + _GREEDY)
 def m1(v):
     return M.match_global(cut(tiles_of(v)))
 
 
+@query("m1_match_global_long", _LONG + _CAND + _GREEDY)
+def m1_long(v):
+    return M.match_global(cut(tiles_of(v, "sheets_base_long")))
+
+
 @query("m2_match_ordered")
 def m2(v):
     return M.match_ordered(cut(tiles_of(v)))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetdelta.plans.registry import query
+from sheetdelta.plans.registry import CHECKS, query
 from sheetdelta.session import scratch_path
+from sheetdelta.sources import readers
 from sheetdelta.sources.testviews import view_ctes
 from sheetdelta.streaming import jobs as J
 from sheetdelta.streaming import progress as P
@@ -87,9 +88,10 @@ def t5(v):
     return rows.select("job_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at_text"), "result")
 
 
-@query("t5_terminal_history_stream", _E + " select distinct job_id from job_events where state in ('completed', 'cancelled', 'failed') and operation = 'compare'")
+@query("t5_terminal_history_stream", CHECKS["t5_terminal_history"])
 def t5b(v):
-    return drain(J.terminal_history(events_stream(v), "40 days"), "append").select("job_id")
+    rows = drain(J.terminal_history(events_stream(v)))
+    return rows.select("job_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at_text"), "result")
 
 
 @query("t6_eta_stream", view_ctes("details").rstrip() + """
@@ -105,7 +107,5 @@ def s8(v):
     """The event log as JSON lines, read back as a stream."""
     path = scratch_path(v.spark, "event-log")
     v.view("job_events").write.json(path)
-    schema = "job_id string, event_id bigint, state string, at timestamp, message string, progress double, operation string"
-    stream = v.spark.readStream.schema(schema).json(path)
-    read = drain(stream, "append")
+    read = drain(readers.stream_job_events(v.spark, path), "append")
     return read.select("job_id", "event_id", "state", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at_text"), "message")

@@ -49,6 +49,13 @@ def read_run_summaries(spark: SparkSession, root: str, inner: str = "_internal")
     return readable.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "priority")
 
 
+def read_summary_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Summaries kept one per line, as a store of many runs has them; unreadable lines are skipped."""
+    found = spark.read.schema(schemas.RUN_SUMMARY + ", _corrupt_record string").option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return found.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
 def explode_pairs(summaries: DataFrame, pairs: str = "pairs", keys: tuple[str, ...] = ("run_dir",)) -> DataFrame:
     """Detail rows of the summaries; anything but a list counts as empty."""
     text = F.col(pairs)

@@ -40,6 +40,6 @@ HISTORY_RECORD = (
 )
 
 JOB_EVENT = (
-    "job_id string, at timestamp, state string, progress double, message string, operation string, "
+    "job_id string, event_id bigint, at timestamp, state string, progress double, message string, operation string, "
     "run_dir string, old_pdf string, new_pdf string"
 )

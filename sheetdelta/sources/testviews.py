@@ -47,6 +47,11 @@ from (
 ) s
 """
 
+# The same with long revisions: all sheets of a language are one document pair.
+SHEETS_BASE_LONG = SHEETS_BASE.replace(
+    "concat(source, '/', cast(cast(floor(doc_id / 2000) as bigint) as string))", "coalesce(lang, 'none')"
+)
+
 CELLS = """
 select distinct 'lattice' as doc_pair, l_suppkey as seq, case when l_linenumber % 2 = 0 then 'A' else 'B' end as rev,
   l_partkey % 64 as x, l_orderkey % 64 as y
@@ -205,7 +210,7 @@ from $documents
 VIEWS = {
     "cells": CELLS, "gray": GRAY, "dims": DIMS, "details": DETAILS, "overrides": OVERRIDES, "run_defaults": RUN_DEFAULTS,
     "runs": RUNS, "job_events": JOB_EVENTS, "usage": USAGE, "catalog": CATALOG, "regions": REGIONS, "zones": ZONES,
-    "exclusions": EXCLUSIONS, "zone_texts": ZONE_TEXTS, "analysis": ANALYSIS, "sheets_base": SHEETS_BASE,
+    "exclusions": EXCLUSIONS, "zone_texts": ZONE_TEXTS, "analysis": ANALYSIS, "sheets_base": SHEETS_BASE, "sheets_base_long": SHEETS_BASE_LONG,
 }
 
 
@@ -234,15 +239,16 @@ class Views:
         # "at" is a reserved word in the checking engine, so the shared text names it at_ts
         return self.spark.sql(re.sub(r"\$(\w+)", r"testview_\1", sql)).withColumnRenamed("at_ts", "at")
 
-    def sheets(self) -> DataFrame:
+    def sheets(self, base: str = "sheets_base") -> DataFrame:
         """Both revisions of all sheets with text, tokens, mark and normalised thumbnail."""
-        base = self.view("sheets_base")
+        base = self.view(base)
         vectors = self.table("embeddings").select(
             F.col("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
         )
         turned = F.transform("embedding", lambda x, i: F.when(i % 16 == 0, -x).otherwise(x))
         edited = (F.col("rev") == "B") & (F.col("k") % 4 == 2)
-        joined = base.join(vectors, base["doc_id"] % 500 == vectors["vec_id"], "left").withColumn(
+        count = vectors.agg(F.max("vec_id") + 1).first()[0] or 1
+        joined = base.join(vectors, base["doc_id"] % count == vectors["vec_id"], "left").withColumn(
             "thumb", F.when(edited, turned).otherwise(F.col("embedding"))
         )
         return describe_sheets(joined.drop("vec_id", "embedding"))
@@ -263,13 +269,14 @@ def tokens_sql(text: str) -> str:
     return f"list_distinct(list_transform(regexp_extract_all({text}, '[A-Za-zА-Яа-я0-9]{{3,}}'), lambda t: upper(t)))"
 
 
-def sheets_cte() -> str:
+def sheets_cte(base: str = "sheets_base") -> str:
     return f"""
-sheets0 as ({view_sql('sheets_base')}),
+sheets0 as ({view_sql(base)}),
 sheets1 as (
   select s.*, list_transform(e.embedding, lambda x, i: case when s.rev = 'B' and s.k % 4 = 2 and (i - 1) % 16 = 0
       then -cast(x as double) else cast(x as double) end) as raw
-  from sheets0 s left join embeddings e on e.vec_id = s.doc_id % 500),
+  from sheets0 s cross join (select max(vec_id) + 1 as vectors from embeddings) c
+    left join embeddings e on e.vec_id = s.doc_id % c.vectors),
 sheets as (
   select doc_pair, rev, idx, doc_id, text, width_pt, height_pt, drawing_id,
     {tokens_sql('text')} as tokens, {mark_sql('text')} as sheet_mark,
@@ -278,6 +285,7 @@ sheets as (
 
 
 def view_ctes(*names: str) -> str:
-    """``with`` clause over the named views; ``sheets`` adds the full sheet table."""
-    parts = [sheets_cte().strip() if n == "sheets" else f"{n} as ({view_sql(n)})" for n in names]
+    """``with`` clause over the named views; ``sheets`` and ``sheets_long`` add a full sheet table named sheets."""
+    bases = {"sheets": "sheets_base", "sheets_long": "sheets_base_long"}
+    parts = [sheets_cte(bases[n]).strip() if n in bases else f"{n} as ({view_sql(n)})" for n in names]
     return "with " + ",\n".join(parts) + "\n"

@@ -40,16 +40,14 @@ def stale_jobs(events: DataFrame, silence: str = "60 seconds", lateness: str = "
     )
 
 
-def terminal_history(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """One history row per finished job (T5); re-renders leave none. Append mode.
+def terminal_history(events: DataFrame) -> DataFrame:
+    """One history row per finished job (T5); re-renders leave none. Update or complete mode.
 
-    A job's first final event counts. On a stream doubles within the watermark
-    are dropped, on a batch all of them are.
+    A job's first final event counts, by time and event number, in whatever order events
+    arrive; the state is one row per finished job.
     """
     final = events.filter(F.col("state").isin(*TERMINAL_STATES)).filter(F.col("operation") == "compare")
     rows = final.select("job_id", "at", F.col("state").alias("result"), "event_id")
-    if events.isStreaming:
-        return rows.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["job_id"]).drop("event_id")
     return rows.groupBy("job_id").agg(F.min_by(F.struct("at", "result"), F.struct("at", "event_id")).alias("r")).select(
         "job_id", "r.at", "r.result"
     )
