@@ -58,6 +58,8 @@ MAX_CANVAS_PAD_PX = 3
 LINE_CENTER_TOLERANCE_MM = 0.35
 LINE_MAX_HALF_WIDTH_MM = 1.5
 MAX_SHIFT_RATIO = 0.10
+# a shift counts when at most this part of the unmatched cells stays unmatched
+CLEAR_RESIDUAL_RATIO = 0.9
 
 MM_PER_INCH = 25.4
 POINTS_PER_INCH = 72.0

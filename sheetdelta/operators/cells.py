@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetdelta import config as C
+from sheetdelta.session import cut
 from sheetdelta.functions.geometry import px_to_mm2
 
 KEYS = ("doc_pair", "seq")
@@ -489,31 +490,67 @@ def shift_votes(words: DataFrame, reach: int, keys: Sequence[str] = KEYS) -> Dat
     return summed.select(*keys, "dy", listed.alias("v")).select(*keys, "v.dx", "dy", "v.votes").filter("votes > 0")
 
 
-def register_shift(words: DataFrame, dims: DataFrame, reach: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def halve(words: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The next coarser grid: a cell is set if one of its four cells is."""
+    bits = F.col("bits")
+    half = bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555))
+    # every second bit moves together, twice as many per step
+    for step, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0xFFFFFFFF)):
+        half = half.bitwiseOR(F.shiftrightunsigned(half, step)).bitwiseAND(F.lit(mask))
+    odd = F.col("wx").bitwiseAND(F.lit(1)) == 1
+    placed = F.when(odd, F.shiftleft(half, 32)).otherwise(half)
+    return words.select(*keys, "rev", F.shiftright("y", 1).alias("y"), F.shiftright("wx", 1).alias("wx"), placed.alias("bits")).groupBy(
+        *keys, "rev", "y", "wx").agg(F.bit_or("bits").alias("bits"))
+
+
+def _best_shift(votes: DataFrame, limits: DataFrame, slack: int, keys: Sequence[str]) -> DataFrame:
+    """Displacement with the most votes among those plausible for the sheet; ties to the smallest."""
+    order = F.struct(F.col("votes"), -(F.abs("dx") + F.abs("dy")), -F.abs("dy"), -F.col("dy"), -F.col("dx"))
+    inside = (F.abs("dx") <= F.col("most_x") + slack) & (F.abs("dy") <= F.col("most_y") + slack)
+    return votes.join(limits, list(keys)).filter(inside).groupBy(*keys).agg(F.max_by(F.struct("dx", "dy", "votes"), order).alias("best"))
+
+
+def register_shift(words: DataFrame, dims: DataFrame, reach: int = 8, keys: Sequence[str] = KEYS) -> DataFrame:
     """Displacement of B against A with its residual before and after.
 
-    The residual counts cells without a partner, |A| + |B| - 2 * votes. A shift
-    is taken only when it is plausible for the sheet size and lowers it.
+    Shifts up to a tenth of the side are found from coarse to fine: the grid is halved
+    until ``reach`` cells cover a tenth of the longer side (the sheet's size alone decides
+    how often), all shifts of that grid are voted on, and each finer grid refines the
+    winner by two cells. The residual counts cells without a partner, |A| + |B| - 2 * votes.
+    A shift is taken only when it lowers the residual clearly.
     """
-    votes = shift_votes(words, reach, keys)
-    order = F.struct(
-        F.col("votes"), -(F.abs("dx") + F.abs("dy")), -F.abs("dy"), -F.col("dy"), -F.col("dx")
-    )
-    best = votes.groupBy(*keys).agg(
-        F.max_by(F.struct("dx", "dy", "votes"), order).alias("best"),
-        F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("votes"))).alias("still"),
-    )
+    longer = F.greatest("width", "height") * C.MAX_SHIFT_RATIO
+    limits = cut(dims.select(
+        *keys, (F.col("width") * C.MAX_SHIFT_RATIO).alias("most_x"), (F.col("height") * C.MAX_SHIFT_RATIO).alias("most_y"),
+        F.greatest(F.lit(0), F.ceil(F.log2(F.floor(longer) / reach))).cast("int").alias("levels"),
+    ))
+    top = limits.agg(F.max("levels")).first()[0] or 0
+    grids = [words]
+    for level in range(1, top + 1):
+        grids.append(cut(halve(grids[-1].join(limits.filter(F.col("levels") >= level).select(*keys), list(keys), "left_semi"), keys)))
+    found: DataFrame | None = None
+    for level in range(top, -1, -1):
+        here = limits.withColumns({m: F.col(m) / (1 << level) for m in ("most_x", "most_y")})
+        own = grids[level].join(limits.filter(F.col("levels") == level).select(*keys), list(keys), "left_semi")
+        best = _best_shift(shift_votes(own, reach, keys), here, 1 if level else 0, keys).select(*keys, "best.*")
+        if found is not None:
+            guess = found.select(*keys, (F.col("dx") * 2).alias("shift_x"), (F.col("dy") * 2).alias("shift_y"))
+            moved = apply_shift(grids[level].join(guess.select(*keys), list(keys), "left_semi"), guess, keys)
+            near = shift_votes(moved, 2, keys).join(guess, list(keys)).withColumns(
+                {"dx": F.col("dx") + F.col("shift_x"), "dy": F.col("dy") + F.col("shift_y")})
+            best = best.unionByName(_best_shift(near, here, 1 if level else 0, keys).select(*keys, "best.*"))
+        found = cut(best) if level else best
+    still = shift_votes(words, 0, keys).select(*keys, F.col("votes").alias("still"))
     totals = words.groupBy(*keys).agg(F.sum(F.bit_count("bits")).cast("long").alias("total"))
-    joined = dims.select(*keys, "width", "height").join(totals, list(keys)).join(best, list(keys), "left")
-    dx, dy = F.coalesce("best.dx", F.lit(0)), F.coalesce("best.dy", F.lit(0))
+    joined = dims.select(*keys).join(totals, list(keys)).join(found, list(keys), "left").join(still, list(keys), "left")
+    dx, dy = F.coalesce("dx", F.lit(0)), F.coalesce("dy", F.lit(0))
     before = F.col("total") - 2 * F.coalesce("still", F.lit(0))
-    after = F.col("total") - 2 * F.coalesce("best.votes", F.lit(0))
-    plausible = (F.abs(dx) <= C.MAX_SHIFT_RATIO * F.col("width")) & (F.abs(dy) <= C.MAX_SHIFT_RATIO * F.col("height"))
+    after = F.col("total") - 2 * F.coalesce("votes", F.lit(0))
     method = (
         F.when(before == 0, "IDENTITY")
-        .when(F.col("best").isNull(), "SHIFT_FAILED")
+        .when(F.col("votes").isNull(), "SHIFT_FAILED")
         .when((dx == 0) & (dy == 0), "ALREADY_ALIGNED")
-        .when(plausible & (after < before), "SHIFT")
+        .when(after <= before * C.CLEAR_RESIDUAL_RATIO, "SHIFT")
         .otherwise("SHIFT_FAILED")
     )
     moved = method == "SHIFT"

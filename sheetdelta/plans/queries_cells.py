@@ -265,18 +265,19 @@ def m11c(v):
 
 @query("m8_register_shift", view_ctes("cells").rstrip() + """,
 votes as (select a.seq, b.x - a.x as dx, b.y - a.y as dy, count(*) as n from cells a join cells b on a.seq = b.seq and a.rev = 'A' and b.rev = 'B'
-  and b.x between a.x - 4 and a.x + 4 and b.y between a.y - 4 and a.y + 4 group by all),
+  and b.x between a.x - 6 and a.x + 6 and b.y between a.y - 6 and a.y + 6 group by all),
 best as (select seq, max((n, -(abs(dx) + abs(dy)), -abs(dy), -dy, -dx)) as k, coalesce(max(n) filter (dx = 0 and dy = 0), 0) as still from votes group by seq),
 pick as (select seq, k[1] as n, -k[5] as dx, -k[4] as dy, still from best),
 total as (select seq, count(*) as t from cells group by seq)
 select t.seq, case when t - 2 * coalesce(still, 0) = 0 then 'IDENTITY' when n is null then 'SHIFT_FAILED' when dx = 0 and dy = 0 then 'ALREADY_ALIGNED'
-    when abs(dx) <= 6.4 and abs(dy) <= 6.4 and n > still then 'SHIFT' else 'SHIFT_FAILED' end as method,
-  case when n > still and abs(dx) <= 6.4 and abs(dy) <= 6.4 and t <> 2 * still then dx else 0 end as shift_x,
-  case when n > still and abs(dx) <= 6.4 and abs(dy) <= 6.4 and t <> 2 * still then dy else 0 end as shift_y,
-  t - 2 * coalesce(still, 0) as residual_before, case when n > still and t <> 2 * still then t - 2 * n else t - 2 * coalesce(still, 0) end as residual_after
+    when t - 2 * n <= (t - 2 * still) * 0.9e0 then 'SHIFT' else 'SHIFT_FAILED' end as method,
+  case when n > still and t - 2 * n <= (t - 2 * still) * 0.9e0 and t <> 2 * still then dx else 0 end as shift_x,
+  case when n > still and t - 2 * n <= (t - 2 * still) * 0.9e0 and t <> 2 * still then dy else 0 end as shift_y,
+  t - 2 * coalesce(still, 0) as residual_before,
+  case when n > still and t - 2 * n <= (t - 2 * still) * 0.9e0 and t <> 2 * still then t - 2 * n else t - 2 * coalesce(still, 0) end as residual_after
 from total t left join pick using (seq)""".replace("max((n, -(abs(dx) + abs(dy)), -abs(dy), -dy, -dx))", "max([n, -(abs(dx) + abs(dy)), -abs(dy), -dy, -dx])"))
 def m8(v):
-    return R.register_shift(words_of(v), v.view("dims"), 4).drop("doc_pair", "ok")
+    return R.register_shift(words_of(v), v.view("dims")).drop("doc_pair", "ok")
 
 
 @query("o1_zones_in_order", view_ctes("zones") + "select seq, zone_id, x, y, w * h as area from zones order by seq, y, x, area, zone_id")

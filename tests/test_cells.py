@@ -147,6 +147,32 @@ def test_shift_is_found_and_undone(spark):
     assert (image(R.apply_shift(words, found), 0, "B") == a).all()
 
 
+@pytest.mark.parametrize("dx, dy", [(42, -18), (36, 14), (12, 5), (-59, 31)])
+def test_large_shifts_are_found_from_coarse_to_fine(spark, dx, dy):
+    rng = np.random.default_rng(abs(dx))
+    height, width = 400, 600
+    a = np.zeros((height, width), bool)
+    for _ in range(25):
+        x, y, w, h = rng.integers(70, 480), rng.integers(60, 300), rng.integers(10, 50), rng.integers(10, 40)
+        a[[y, y + h], x : x + w] = True
+        a[y : y + h, [x, x + w]] = True
+    b = np.roll(a, (dy, dx), (0, 1))
+    noise = rng.random((height, width)) < 0.02
+    images = {(0, "A"): a, (0, "B"): b, (1, "A"): noise, (1, "B"): rng.random((height, width)) < 0.02}
+    words = R.pack(draw(spark, images))
+    dims = spark.createDataFrame([("d", s, width, height) for s in (0, 1)], "doc_pair string, seq long, width long, height long")
+    found = {r.seq: r for r in R.register_shift(words, dims).collect()}
+    assert (found[0].method, found[0].shift_x, found[0].shift_y, found[0].residual_after) == ("SHIFT", dx, dy, 0)
+    assert found[1].method in ("SHIFT_FAILED", "ALREADY_ALIGNED") and found[1].shift_x == 0
+
+
+def test_halved_grid(spark):
+    rng = np.random.default_rng(3)
+    m = rng.random((H, W)) < 0.05
+    found = R.unpack(R.halve(R.pack(draw(spark, {(0, "A"): m}))), "bits", ("doc_pair", "seq", "rev")).select("x", "y").collect()
+    assert {(r.x, r.y) for r in found} == {(int(x) // 2, int(y) // 2) for y, x in zip(*np.nonzero(m))}
+
+
 def test_line_weight_changes_are_ignored_but_new_lines_stay(spark):
     a, b = np.zeros((H, W), bool), np.zeros((H, W), bool)
     a[10:12, 10:120] = True
