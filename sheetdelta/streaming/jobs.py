@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sheetdelta import config as C
 from sheetdelta.functions.text import parse_progress
@@ -22,24 +26,59 @@ def latest_job_state(events: DataFrame) -> DataFrame:
     )
 
 
-def stale_jobs(events: DataFrame, silence: str = "60 seconds", lateness: str = "10 minutes", grace: str = f"{C.QUEUED_GRACE_SEC} seconds") -> DataFrame:
-    """Active jobs that fell silent: a burst of events closed by ``silence`` without a final state (T4).
+_STALE = "job_id string, last_at timestamp, last_state string, events long, state string, error string"
+
+
+def stale_jobs(events: DataFrame, now: Column, silence_sec: int = 60, grace_sec: int = C.QUEUED_GRACE_SEC) -> DataFrame:
+    """Active jobs without a sign of life (T4): the newest event is active and older than allowed.
 
-    A job that is only queued is allowed ``grace`` of its own. On a stream the
-    watermark decides when a burst is closed; append mode.
+    A job that is only queued is allowed ``grace_sec``, any other ``silence_sec``. Times
+    are compared in milliseconds, as timers do.
     """
-    gap = F.when(F.col("state") == "queued", F.lit(grace)).otherwise(F.lit(silence))
-    watched = events.withWatermark("at", lateness) if events.isStreaming else events
-    bursts = watched.groupBy("job_id", F.session_window("at", gap).alias("burst")).agg(
-        F.max_by("state", F.struct("at", "event_id")).alias("last_state"), F.max("at").alias("last_at"),
-        F.count("*").alias("events"),
-    )
-    return bursts.filter(F.col("last_state").isin(*C.ACTIVE_JOB_STATES)).select(
-        "job_id", "last_at", F.col("burst.end").alias("stale_at"), "last_state", "events",
+    newest = F.max_by(F.struct("at", "state"), F.struct("at", "event_id"))
+    jobs = events.groupBy("job_id").agg(newest.alias("s"), F.count("*").alias("events"))
+    allowed = F.when(F.col("s.state") == "queued", grace_sec).otherwise(silence_sec) * 1000
+    silent = F.unix_millis("s.at") + allowed < F.unix_millis(now)
+    return jobs.filter(F.col("s.state").isin(*C.ACTIVE_JOB_STATES) & silent).select(
+        "job_id", F.col("s.at").alias("last_at"), F.col("s.state").alias("last_state"), "events",
         F.lit("failed").alias("state"), F.lit("stale worker process").alias("error"),
     )
 
 
+def stream_stale_jobs(
+    events: DataFrame, silence_sec: int = 60, grace_sec: int = C.QUEUED_GRACE_SEC, lateness: str = "10 minutes",
+) -> DataFrame:
+    """The same on a stream, append mode: each job has a timer that a later event sets anew.
+
+    The timer fires once the watermark has passed the newest event by the allowed silence;
+    finished jobs are forgotten then without a row.
+    """
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, event, name, seen = state.get if state.exists else (-1, -1, "", 0)
+        if state.hasTimedOut:
+            state.remove()
+            if name in C.ACTIVE_JOB_STATES:
+                yield pd.DataFrame({
+                    "job_id": [key[0]], "last_at": [pd.Timestamp(at, unit="us", tz="UTC")], "last_state": [name], "events": [seen],
+                    "state": ["failed"], "error": ["stale worker process"],
+                })
+            return
+        for batch in batches:
+            seen += len(batch)
+            for when, number, other in zip(batch["at_us"], batch["event_id"], batch["state"]):
+                if (when, number) > (at, event):
+                    at, event, name = int(when), int(number), other
+        state.update((at, event, name, seen))
+        due = at // 1000 + (grace_sec if name == "queued" else silence_sec) * 1000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    watched = events.withWatermark("at", lateness).select("job_id", "at", F.unix_micros("at").alias("at_us"), "event_id", "state")
+    return watched.groupBy("job_id").applyInPandasWithState(
+        watch, _STALE, "at_us long, event_id long, state string, events long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def terminal_history(events: DataFrame) -> DataFrame:
     """One history row per finished job (T5); re-renders leave none. Update or complete mode.
 
