@@ -42,7 +42,13 @@ def p41(v):
     )
 
 
-@query("p42_input_fingerprint")
+@query("p42_input_fingerprint", view_ctes("cells", "dims").rstrip() + """,
+lines as (select doc_pair, seq, rev, y, x // 64 as wx, sum((1::hugeint) << (x % 64)::integer) as raw from cells group by all),
+words as (select doc_pair, seq, rev, md5(concat_ws(':', y, wx, case when raw >= 9223372036854775808::hugeint then raw - 18446744073709551616::hugeint else raw end)) as m from lines),
+digests as (select doc_pair, seq, rev, concat_ws(':', sum(('0x' || substr(m, 1, 8))::bigint), sum(('0x' || substr(m, 9, 8))::bigint), count(*)) as digest from words group by all),
+cells2 as (select doc_pair, seq, concat_ws(',', max(digest) filter (rev = 'A'), max(digest) filter (rev = 'B')) as c from digests group by all)
+select doc_pair, seq, sha256(concat_ws(chr(10), '2', concat('{"doc_pair":"', doc_pair, '","height":', height, ',"seq":', seq, ',"width":', width, '}'), coalesce(c, ''))) as fingerprint
+from dims left join cells2 using (doc_pair, seq)""")
 def p42(v):
     details = v.view("dims").select("doc_pair", "seq", "width", "height")
     return O.sheet_fingerprints(details, R.pack(v.view("cells")), "2")
