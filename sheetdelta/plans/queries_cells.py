@@ -164,7 +164,21 @@ def m7(v):
     return merged.select("seq", "x", "y", "w", "h", "merged")
 
 
-@query("m10_ignore_line_weight")
+# middles of runs of at most nine cells; where both revisions have one within a cell, a round stencil of reach four
+_ENVELOPE = """,
+across as (select seq, rev, y, (min(x) + max(x)) // 2 as x from (select *, x - row_number() over (partition by seq, rev, y order by x) as island from cells)
+  group by seq, rev, y, island having max(x) - min(x) < 9),
+down as (select seq, rev, x, (min(y) + max(y)) // 2 as y from (select *, y - row_number() over (partition by seq, rev, x order by y) as island from cells)
+  group by seq, rev, x, island having max(y) - min(y) < 9),
+axes as (select seq, rev, x, y from across union select seq, rev, x, y from down),
+nearby(dx, dy) as (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)),
+shared as (select distinct a.seq, a.x, a.y from axes a cross join nearby join axes b on a.seq = b.seq and a.rev <> b.rev and b.x = a.x + dx and b.y = a.y + dy),
+stencil as (select dx, dy from (select unnest(range(-4, 5)) as dx) cross join (select unnest(range(-4, 5)) as dy) where abs(dx) <= round(sqrt(16 - dy * dy))),
+envelope as (select distinct seq, x + dx as x, y + dy as y from shared cross join stencil)
+select seq, x, y from (select seq, x, y from removed union select seq, x, y from added) anti join envelope using (seq, x, y)"""
+
+
+@query("m10_ignore_line_weight", _C + _ENVELOPE)
 def m10(v):
     words = words_of(v)
     masks = R.masks(R.side_by_side(words, SHEET, 1.0))
