@@ -45,9 +45,66 @@ _ALL = _S + _CAND
 _GREEDY = """,
 sorted_edges as (select doc_pair, list({'a': a_idx, 'b': b_idx, 's': sim} order by sim desc, a_idx, b_idx) as l
   from cand where ok and sim >= 0.55 group by doc_pair),
-greedy as (select doc_pair, unnest(list_reduce(list_transform(l, lambda e: [e]), lambda took, e:
-    case when len(list_filter(took, lambda t: t.a = e[1].a or t.b = e[1].b)) > 0 then took else took || e end)) as e from sorted_edges)
-select doc_pair, e.a as a_idx, e.b as b_idx, e.s as sim from greedy"""
+picked as (select doc_pair, unnest(list_reduce(list_transform(l, lambda e: [e]), lambda took, e:
+    case when len(list_filter(took, lambda t: t.a = e[1].a or t.b = e[1].b)) > 0 then took else took || e end)) as e from sorted_edges),
+greedy as (select doc_pair, e.a as a_idx, e.b as b_idx, e.s as sim from picked)"""
+
+# heaviest chain: row by row the best weight of every prefix; the way back prefers to leave out a sheet of A, then one of B
+_CHAIN = """,
+lines as (select doc_pair, a_idx, list(sim order by b_idx) as s, list(case when ok and sim >= 0.58 then sim - 0.14 else -1e9 end order by b_idx) as w
+  from cand group by doc_pair, a_idx),
+extent as (select doc_pair, max(a_idx) + 1 as n, any_value(len(w)) as m from lines group by doc_pair),
+best(doc_pair, r, v) as (
+  select doc_pair, 0::bigint, list_transform(range(m + 1), lambda j: 0e0) from extent
+  union all
+  select doc_pair, r + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) from (
+    select b.doc_pair, b.r, list_transform(range(1, len(b.v) + 1), lambda j: case when j = 1 then b.v[1] else greatest(b.v[j], b.v[j - 1] + l.w[j - 1]) end) as c
+    from best b join lines l on l.doc_pair = b.doc_pair and l.a_idx = b.r)),
+walk(doc_pair, r, c, hit) as (
+  select doc_pair, n, m, false from extent
+  union all
+  select w.doc_pair, case when here.v[w.c + 1] = up.v[w.c + 1] or here.v[w.c + 1] <> here.v[w.c] then w.r - 1 else w.r end,
+    case when here.v[w.c + 1] = up.v[w.c + 1] then w.c else w.c - 1 end,
+    here.v[w.c + 1] <> up.v[w.c + 1] and here.v[w.c + 1] <> here.v[w.c]
+  from walk w join best here on here.doc_pair = w.doc_pair and here.r = w.r join best up on up.doc_pair = w.doc_pair and up.r = w.r - 1
+  where w.r > 0 and w.c > 0),
+chain as (select w.doc_pair, w.r as a_idx, w.c as b_idx, l.s[w.c + 1] as sim from walk w join lines l on l.doc_pair = w.doc_pair and l.a_idx = w.r where w.hit)"""
+
+
+def _recursive(sql):
+    return sql.replace("with ", "with recursive ", 1)
+
+
+def _quality(name):
+    """Quality of a map, with 0 for document pairs without a match."""
+    return f"""
+{name}_q as (select doc_pair, coalesce(mean, 0) - 0.38 * (n_a + n_b - 2 * coalesce(k, 0)) / greatest(1, n_a + n_b)
+    - case when k > 1 then 0.10 * (i / (k * (k - 1) / 2)) else 0 end as q
+  from counts left join (select doc_pair, avg(sim) as mean, count(*) as k from {name} group by doc_pair) using (doc_pair)
+  left join (select f.doc_pair, count(g.a_idx) as i from {name} f left join {name} g on f.doc_pair = g.doc_pair and f.a_idx < g.a_idx and f.b_idx > g.b_idx group by f.doc_pair) using (doc_pair))"""
+
+
+_VERDICT = """,
+counts as (select doc_pair, count(*) filter (rev = 'A') as n_a, count(*) filter (rev = 'B') as n_b from sheets group by doc_pair),""" + _quality("greedy") + "," + _quality("chain") + """,
+verdict as (select doc_pair, g.q as q_global, c.q as q_ordered, case when round(c.q - g.q + 0.04, 9) >= 0 then 'ordered' else 'global' end as strategy
+  from greedy_q g join chain_q c using (doc_pair))"""
+
+_PAGES = """,
+chosen as (select * from greedy join verdict using (doc_pair) where strategy = 'global' union all select * from chain join verdict using (doc_pair) where strategy = 'ordered'),
+place as (select s.doc_pair, s.rev, s.idx, coalesce(v.strategy, 'global') as strategy, f.a_idx, f.b_idx, f.sim from sheets s left join verdict v using (doc_pair)
+  left join chosen f on f.doc_pair = s.doc_pair and ((s.rev = 'A' and f.a_idx = s.idx) or (s.rev = 'B' and f.b_idx = s.idx))),
+page as (
+  select doc_pair, strategy, a_idx, b_idx, 'matched' as status, sim as score, a_idx as k1,
+    case strategy when 'global' then 1 else 2 end as k2, 0 as k3 from place where rev = 'A' and a_idx is not null
+  union all
+  select p.doc_pair, p.strategy, idx, null, 'removed', 0e0,
+    case p.strategy when 'global' then idx else coalesce((select min(a_idx) from chosen f where f.doc_pair = p.doc_pair and f.a_idx > p.idx), 1000000) end, 1, idx
+  from place p where rev = 'A' and a_idx is null
+  union all
+  select p.doc_pair, p.strategy, null, idx, 'added', 0e0,
+    coalesce((select min(a_idx) from chosen f where f.doc_pair = p.doc_pair and f.b_idx > p.idx), 1000000), 0, idx
+  from place p where rev = 'B' and a_idx is null)
+select doc_pair, row_number() over (partition by doc_pair order by k1, k2, k3) as seq, a_idx, b_idx, status, score, strategy from page"""
 
 
 def diagonal(v):
@@ -135,17 +192,17 @@ def a14(v):
     return v.sheets().filter("drawing_id is not null").groupBy("doc_pair", "rev", "drawing_id").agg(F.count("*").alias("n"))
 
 
-@query("m1_match_global", _ALL + _GREEDY)
+@query("m1_match_global", _ALL + _GREEDY + " select * from greedy")
 def m1(v):
     return M.match_global(cut(tiles_of(v)))
 
 
-@query("m1_match_global_long", _LONG + _CAND + _GREEDY)
+@query("m1_match_global_long", _LONG + _CAND + _GREEDY + " select * from greedy")
 def m1_long(v):
     return M.match_global(cut(tiles_of(v, "sheets_base_long")))
 
 
-@query("m2_match_ordered")
+@query("m2_match_ordered", _recursive(_ALL + _CHAIN + " select * from chain"))
 def m2(v):
     return M.match_ordered(cut(tiles_of(v)))
 
@@ -202,14 +259,14 @@ def w11(v):
     return M.emit_page_map(found, s, verdict).drop("score", "strategy")
 
 
-@query("m3_choose_map")
+@query("m3_choose_map", _recursive(_ALL + _GREEDY + _CHAIN + _VERDICT + " select * from verdict"))
 def m3(v):
     sheets = cut(v.sheets().drop("text"))
     tiles = cut(S.similarity_tiles(sheets))
     return M.choose_map(cut(M.match_global(tiles)), cut(M.match_ordered(tiles)), S.sheet_counts(sheets))
 
 
-@query("m4_emit_page_map")
+@query("m4_emit_page_map", _recursive(_ALL + _GREEDY + _CHAIN + _VERDICT + _PAGES))
 def m4(v):
     return compare.page_map(v.sheets())
 
