@@ -244,7 +244,8 @@ def extract_pages(
     counted = seen.select("host", "article", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
     hosts = parsed.filter("host <> ''").select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
     template = counted.join(hosts, "host").filter(F.col("n") >= share * F.col("articles")).select("host", "subtree")
-    marked = seen.join(template, ["host", "subtree"], "left_semi").groupBy("page").agg(F.collect_set("subtree").alias("template"))
+    # written first, so that its true size decides whether the texts are shuffled for the join
+    marked = cut(seen.join(template, ["host", "subtree"], "left_semi").groupBy("page").agg(F.collect_set("subtree").alias("template")))
     joined = parsed.join(marked, "page", "left")
     kept = F.filter(
         F.arrays_zip("texts", "within"), lambda b: ~F.coalesce(F.arrays_overlap(b["within"], F.col("template")), F.lit(False))
