@@ -25,17 +25,17 @@ def _cols(*names: str):
     return [F.col(n) for n in names]
 
 
-@query("p12_effective_dpi", view_ctes("sheets_base") + """
-select doc_pair, a.idx, least(
+@query("p12_effective_dpi", view_ctes("sheets_base", "partners") + """
+select p.doc_pair, p.k as idx, least(
   case when 600e0 * a.width_pt / 72 * (600e0 * a.height_pt / 72) / 1e6 <= 40 then 600e0 else 600e0 * sqrt(40 / (600e0 * a.width_pt / 72 * (600e0 * a.height_pt / 72) / 1e6)) end,
   case when 600e0 * b.width_pt / 72 * (600e0 * b.height_pt / 72) / 1e6 <= 40 then 600e0 else 600e0 * sqrt(40 / (600e0 * b.width_pt / 72 * (600e0 * b.height_pt / 72) / 1e6)) end) as dpi
-from sheets_base a join sheets_base b using (doc_pair) where a.rev = 'A' and b.rev = 'B' and a.idx = b.idx""")
+from partners p join sheets_base a on a.doc_pair = p.doc_pair and a.idx = p.ka and a.rev = 'A' join sheets_base b on b.doc_pair = p.doc_pair and b.idx = p.kb and b.rev = 'B'""")
 def p12(v):
     s = v.view("sheets_base")
-    a = s.filter("rev = 'A'").select("doc_pair", "idx", F.col("width_pt").alias("wa"), F.col("height_pt").alias("ha"))
-    b = s.filter("rev = 'B'").select("doc_pair", "idx", F.col("width_pt").alias("wb"), F.col("height_pt").alias("hb"))
-    return a.join(b, ["doc_pair", "idx"]).select(
-        "doc_pair", "idx", G.pair_dpi(*_cols("wa", "ha", "wb", "hb"), F.lit(600)).alias("dpi")
+    a = s.filter("rev = 'A'").select("doc_pair", F.col("idx").alias("ka"), F.col("width_pt").alias("wa"), F.col("height_pt").alias("ha"))
+    b = s.filter("rev = 'B'").select("doc_pair", F.col("idx").alias("kb"), F.col("width_pt").alias("wb"), F.col("height_pt").alias("hb"))
+    return v.view("partners").join(a, ["doc_pair", "ka"]).join(b, ["doc_pair", "kb"]).select(
+        "doc_pair", F.col("k").alias("idx"), G.pair_dpi(*_cols("wa", "ha", "wb", "hb"), F.lit(600)).alias("dpi")
     )
 
 

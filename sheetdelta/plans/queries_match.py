@@ -32,7 +32,8 @@ scored as (
 judged as (select *, ratio >= 0.96 and gap <= 0.015 as same_size, gap <= 0.015 and mk <> 'conflict' and shared >= 20 and txt >= 0.85 and vis >= 0.9 as cross_size,
     greatest(0e0, least(1e0, case when tn_a > 0 or tn_b > 0 then 0.72 * vis + 0.28 * txt else vis end
       + case mk when 'same' then 0.20 when 'digits' then 0.08 when 'conflict' then -0.22 else 0 end)) as score from scored)"""
-_DIAGONAL = _S + "," + _PAIR.format(on="and a.idx = b.idx")
+_DIAGONAL = view_ctes("sheets", "partners").rstrip() + "," + _PAIR.format(
+    on="join partners p on p.doc_pair = a.doc_pair and p.ka = a.idx and p.kb = b.idx")
 _CAND = "," + _PAIR.format(on="") + """,
 ids as (select doc_pair, rev, drawing_id from sheets where drawing_id is not null group by all having count(*) = 1),
 cand as (select j.doc_pair, a_idx, b_idx, same_size or cross_size or (x.drawing_id is not null and y.drawing_id is not null and ia = ib and shared >= 20) as ok,
@@ -108,11 +109,12 @@ select doc_pair, row_number() over (partition by doc_pair order by k1, k2, k3) a
 
 
 def diagonal(v):
-    """Sheets of both revisions with the same index: one partner each."""
+    """All sheets of both revisions, each with one partner, as structs a and b beside the index of a."""
     s = v.sheets()
     body = F.struct("thumb", "tokens", "sheet_mark", "width_pt", "height_pt")
-    side = lambda rev, name: s.filter(F.col("rev") == rev).select("doc_pair", "idx", body.alias(name))
-    return side("A", "a").join(side("B", "b"), ["doc_pair", "idx"])
+    side = lambda rev, at, name: s.filter(F.col("rev") == rev).select("doc_pair", F.col("idx").alias(at), body.alias(name))
+    paired = v.view("partners").join(side("A", "ka", "a"), ["doc_pair", "ka"]).join(side("B", "kb", "b"), ["doc_pair", "kb"])
+    return paired.withColumnRenamed("ka", "idx")
 
 
 def _pair_query(column, alias):

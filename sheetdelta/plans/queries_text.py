@@ -103,19 +103,19 @@ def p4(v):
     return drawing_ids(words_of(v), v.view("sheets_base").drop("drawing_id")).select("doc_pair", "rev", "idx", "drawing_id")
 
 
-@query("p5_mark_similarity", view_ctes("sheets") + """
-select a.doc_pair, a.idx, case when coalesce(a.sheet_mark, '') = '' or coalesce(b.sheet_mark, '') = '' then 0e0
+@query("p5_mark_similarity", view_ctes("sheets", "partners") + """
+select a.doc_pair, p.k as idx, case when coalesce(a.sheet_mark, '') = '' or coalesce(b.sheet_mark, '') = '' then 0e0
   when a.sheet_mark = b.sheet_mark then 1e0
   when regexp_replace(a.sheet_mark, '[^0-9]', '', 'g') <> '' and
     regexp_replace(a.sheet_mark, '[^0-9]', '', 'g') = regexp_replace(b.sheet_mark, '[^0-9]', '', 'g') then 0.65e0
   else 0e0 end as similarity
-from sheets a join sheets b on a.doc_pair = b.doc_pair and a.idx = b.idx and a.rev = 'A' and b.rev = 'B'""")
+from partners p join sheets a on a.doc_pair = p.doc_pair and a.idx = p.ka and a.rev = 'A' join sheets b on b.doc_pair = p.doc_pair and b.idx = p.kb and b.rev = 'B'""")
 def p5(v):
     s = v.sheets()
-    a = s.filter("rev = 'A'").select("doc_pair", "idx", F.col("sheet_mark").alias("ma"))
-    b = s.filter("rev = 'B'").select("doc_pair", "idx", F.col("sheet_mark").alias("mb"))
-    return a.join(b, ["doc_pair", "idx"]).select(
-        "doc_pair", "idx", T.mark_similarity(F.col("ma"), F.col("mb")).alias("similarity")
+    a = s.filter("rev = 'A'").select("doc_pair", F.col("idx").alias("ka"), F.col("sheet_mark").alias("ma"))
+    b = s.filter("rev = 'B'").select("doc_pair", F.col("idx").alias("kb"), F.col("sheet_mark").alias("mb"))
+    return v.view("partners").join(a, ["doc_pair", "ka"]).join(b, ["doc_pair", "kb"]).select(
+        "doc_pair", F.col("k").alias("idx"), T.mark_similarity(F.col("ma"), F.col("mb")).alias("similarity")
     )
 
 

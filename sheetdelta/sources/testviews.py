@@ -52,6 +52,16 @@ SHEETS_BASE_LONG = SHEETS_BASE.replace(
     "concat(source, '/', cast(cast(floor(doc_id / 2000) as bigint) as string))", "coalesce(lang, 'none')"
 )
 
+# Every sheet of the longer revision with a partner; those of the shorter one come round again.
+PARTNERS = f"""
+select s.doc_pair, s.idx as k, s.idx % c.n_a as ka, s.idx % c.n_b as kb
+from ({SHEETS_BASE}) s join (
+  select doc_pair, count(case when rev = 'A' then 1 end) as n_a, count(case when rev = 'B' then 1 end) as n_b
+  from ({SHEETS_BASE}) t group by doc_pair
+) c on s.doc_pair = c.doc_pair
+where c.n_a > 0 and c.n_b > 0 and s.rev = case when c.n_a >= c.n_b then 'A' else 'B' end
+"""
+
 CELLS = """
 select distinct 'lattice' as doc_pair, l_suppkey as seq, case when l_linenumber % 2 = 0 then 'A' else 'B' end as rev,
   l_partkey % 64 as x, l_orderkey % 64 as y
@@ -211,6 +221,7 @@ VIEWS = {
     "cells": CELLS, "gray": GRAY, "dims": DIMS, "details": DETAILS, "overrides": OVERRIDES, "run_defaults": RUN_DEFAULTS,
     "runs": RUNS, "job_events": JOB_EVENTS, "usage": USAGE, "catalog": CATALOG, "regions": REGIONS, "zones": ZONES,
     "exclusions": EXCLUSIONS, "zone_texts": ZONE_TEXTS, "analysis": ANALYSIS, "sheets_base": SHEETS_BASE, "sheets_base_long": SHEETS_BASE_LONG,
+    "partners": PARTNERS,
 }
 
 
