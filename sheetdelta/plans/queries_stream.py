@@ -39,7 +39,7 @@ _E = view_ctes("job_events").rstrip()
 select run_id, count(*) as done, count(*) filter (live_status = 'changed') as changed, count(*) filter (live_status = 'unchanged') as unchanged,
   count(*) filter (live_status = 'added') as added, count(*) filter (live_status = 'removed') as removed from live group by run_id""")
 def t1(v):
-    return drain(P.live_progress(details_stream(v)))
+    return drain(P.live_progress(details_stream(v)), ["run_id"])
 
 
 @query("t2_live_page_stream", _LIVE + " select run_id, seq, live_status, change_level, seq * 2 as a_idx, seq * 2 + 1 as b_idx from live")
@@ -48,7 +48,7 @@ def t2(v):
         F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") * 2).alias("a_idx"),
         (F.col("o_orderkey") * 2 + 1).alias("b_idx"),
     )
-    return drain(P.live_page_stream(details_stream(v), page_map), "append")
+    return drain(P.live_page_stream(details_stream(v), page_map))
 
 
 @query("t3_latest_job_state", _E + r"""
@@ -56,7 +56,7 @@ select job_id, strftime(max(at_ts), '%Y-%m-%d %H:%M:%S') as at_text, arg_max(sta
   cast(regexp_extract(arg_max(message, at_ts), '(\d+) / (\d+)', 1) as bigint) as completed_pages, cast(regexp_extract(arg_max(message, at_ts), '(\d+) / (\d+)', 2) as bigint) as total_pages
 from job_events group by job_id""")
 def t3(v):
-    latest = drain(J.latest_job_state(events_stream(v)))
+    latest = drain(J.latest_job_state(events_stream(v)), ["job_id"])
     return latest.select(
         "job_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at_text"), "state", "progress", "events", "completed_pages", "total_pages"
     )
@@ -82,7 +82,7 @@ def t4(v):
 
 @query("t4_stale_jobs_stream", _E + _STALE)
 def t4b(v):
-    return _stale_columns(drain(J.stream_stale_jobs(events_stream(v), 7200, 14400), "append"))
+    return _stale_columns(drain(J.stream_stale_jobs(events_stream(v), 7200, 14400)))
 
 
 @query("t5_terminal_history", _E + """
@@ -94,7 +94,7 @@ def t5(v):
 
 @query("t5_terminal_history_stream", CHECKS["t5_terminal_history"])
 def t5b(v):
-    rows = drain(J.terminal_history(events_stream(v)))
+    rows = drain(J.terminal_history(events_stream(v)), ["job_id"])
     return rows.select("job_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at_text"), "result")
 
 
@@ -103,7 +103,7 @@ select run_id, count(*) + run_id % 7 as total, count(*) as done, sum(elapsed_sec
 def t6(v):
     totals = v.table("orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.count("*").alias("n"))
     totals = totals.select("run_id", (F.col("n") + F.col("run_id") % 7).alias("total"))
-    return drain(P.eta_stream(details_stream(v), totals))
+    return drain(P.eta_stream(details_stream(v), totals), ["run_id"])
 
 
 @query("s8_read_job_events", _E + " select job_id, event_id, state, strftime(at_ts, '%Y-%m-%d %H:%M:%S') as at_text, message from job_events")
@@ -111,5 +111,5 @@ def s8(v):
     """The event log as JSON lines, read back as a stream."""
     path = scratch_path(v.spark, "event-log")
     v.view("job_events").write.json(path)
-    read = drain(readers.stream_job_events(v.spark, path), "append")
+    read = drain(readers.stream_job_events(v.spark, path))
     return read.select("job_id", "event_id", "state", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at_text"), "message")
