@@ -130,13 +130,33 @@ def revision_chain(catalog: DataFrame) -> DataFrame:
     )
 
 
+def _rare_bigrams(texts: DataFrame, cut: float = C.SIMILAR_RUN_CUT) -> DataFrame:
+    """(text, key): the rarest bigrams of a text, as many as a similar text must share one of.
+
+    An edit touches two bigrams at most, so texts of length l with a ratio of at least
+    ``cut`` share at least l - 1 - 2 (1 - cut) l of them, repeats counted; all but that many, and
+    one more, are the keys. Rare ones come first, so a word that all names hold joins nothing.
+    Texts too short for that only resemble texts of their own length.
+    """
+    length = F.length("text")
+    at = texts.select("text", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), length - 1)), lambda i: F.substring("text", i, F.lit(2)))).alias("pos", "gram"))
+    same = Window.partitionBy("text", "gram").orderBy("pos")     # within one name
+    grams = at.select("text", F.concat_ws("#", "gram", F.row_number().over(same)).alias("key"))
+    counted = grams.join(grams.groupBy("key").agg(F.count("*").alias("texts")), "key")
+    shared = F.greatest(F.lit(1), F.ceil((2 * cut - 1) * length - 1 - 1e-9))
+    rank = F.row_number().over(Window.partitionBy("text").orderBy("texts", "key"))
+    kept = counted.withColumn("rank", rank).filter(F.col("rank") <= length - shared).select("text", "key")
+    short = texts.filter((2 * cut - 1) * length <= 1).select("text", F.concat(F.lit("length "), length).alias("key"))
+    return kept.unionByName(short)
+
+
 def match_existing_runs(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     """Earlier runs of a file pair, ranked by how they match.
 
     ``pairs`` holds pair_id, old_path and new_path, ``runs`` run_id, created_at,
     file_a and file_b. Equal paths and equal names are equality joins. Similar
-    names are compared only between distinct name pairs that agree in a long
-    piece of the name, and every distinct pair is compared once.
+    names are compared between distinct name pairs that share one of their rarest
+    bigrams, which no pair above the cut can avoid, and every distinct pair is compared once.
     """
     stem = lambda c: F.regexp_replace(H.base_name(c), r"\.[^.]*$", "")
     asked = pairs.select(
@@ -162,19 +182,23 @@ def match_existing_runs(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     for args in (("path", True, 0.98, "exact_paths_reversed"), ("name", False, 0.95, "exact_file_names"), ("name", True, 0.93, "exact_file_names_reversed")):
         found = found.unionByName(equal(*args))
 
-    # distinct stem pairs, keyed by their name pieces without digits
-    pieces = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[a-zа-я]{3,}"), F.lit(0)))
-    mine = asked.select("asked_stems").distinct().withColumn("key", F.explode(pieces(F.col("asked_stems"))))
-    theirs = known.select("stems", "stems_reversed").distinct().withColumn("key", F.explode(pieces(F.col("stems"))))
+    # each distinct text once; a run is also compared with its names the other way round
+    mine = asked.select("asked_stems").distinct()
+    theirs = known.select("stems", "stems_reversed").distinct()
+    turned = theirs.select(F.explode(F.array("stems", "stems_reversed")).alias("text"))
+    keys = _rare_bigrams(turned.unionByName(mine.select(F.col("asked_stems").alias("text"))).distinct())
+    pairs_of = keys.select(F.col("text").alias("asked_stems"), "key").join(mine, "asked_stems").join(
+        keys.join(turned.distinct(), "text").select(F.col("text").alias("other"), "key"), "key")
     length = lambda a, b: F.greatest(F.length(a), F.length(b), F.lit(1))
-    close = lambda a, b: 1.0 - F.levenshtein(F.col(a), F.col(b)) / length(a, b)
     # a ratio above the cut needs lengths that close
-    near = F.least(F.length("asked_stems"), F.length("stems")) >= C.SIMILAR_RUN_CUT * length("asked_stems", "stems")
-    ratio = (
-        mine.join(theirs, "key").filter(near).select("asked_stems", "stems", "stems_reversed").distinct()
-        .withColumn("ratio", F.greatest(close("asked_stems", "stems"), close("asked_stems", "stems_reversed")))
+    near = F.least(F.length("asked_stems"), F.length("other")) >= C.SIMILAR_RUN_CUT * length("asked_stems", "other")
+    close = (
+        pairs_of.filter(near).select("asked_stems", "other").distinct()
+        .withColumn("ratio", 1.0 - F.levenshtein("asked_stems", "other") / length("asked_stems", "other"))
         .filter(F.col("ratio") >= C.SIMILAR_RUN_CUT)
     )
+    either = theirs.select("stems", "stems_reversed", F.explode(F.array_distinct(F.array("stems", "stems_reversed"))).alias("other"))
+    ratio = close.join(either, "other").groupBy("asked_stems", "stems", "stems_reversed").agg(F.max("ratio").alias("ratio"))
     fuzzy = asked.join(ratio, "asked_stems").join(known, ["stems", "stems_reversed"]).select(
         "pair_id", "run_id", "created_at", F.col("ratio").alias("similarity"), F.lit("similar_file_names").alias("reason")
     )
