@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +15,9 @@ from sheetdelta.llm.vptree import usable
 from sheetdelta.session import cut
 
 #: Vectors of one block, about; each block gets a tree, each pair of blocks a traversal.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 2_048
+#: Pairs of children from which on two nodes are compared as matrices.
+WIDE = 4_096
 #: Levels below the unit radius; radii halve from one to the next.
 LEVELS = 6
 
@@ -48,34 +52,34 @@ class CoverTree:
             gap = np.sqrt(((points - points[coarse[above]]) ** 2).sum(axis=1)) if n else np.zeros(0)
             np.maximum.at(far, above, gap)
             self.reach.insert(0, far)
-        self.children: list[list[np.ndarray]] = []
+        # children of every centre: their order, and where each centre's begin
+        self.children: list[tuple[np.ndarray, np.ndarray]] = []
         for coarse, parent in zip(centres, self.parent):
             order = np.argsort(parent, kind="stable")
-            ends = np.searchsorted(parent[order], np.arange(len(coarse) + 1))
-            self.children.append([order[a:b] for a, b in zip(ends, ends[1:])])
+            self.children.append((order, np.searchsorted(parent[order], np.arange(len(coarse) + 1))))
 
     def _net(self, kept: np.ndarray, radius: float) -> np.ndarray:
         """Extends the coarser centres so that every point is within ``radius`` of one."""
-        n, kept = len(self.points), list(kept)
-        free = np.ones(n, bool)
-        for at in kept:
-            free &= _squares(self.points, self.points[at]) > radius * radius
-        if free.mean() > 0.5 and n > 64:
-            near = self._crowded(radius)
-            kept += np.flatnonzero(free & ~near).tolist()
-            free &= near
-        for at in range(n):
-            if free[at]:
-                kept.append(at)
-                free &= _squares(self.points, self.points[at]) > radius * radius
-        return np.unique(np.array(kept, int))
-
-    def _crowded(self, radius: float) -> np.ndarray:
-        """Points with another one within ``radius``; the others are centres in any order."""
-        out = np.zeros(len(self.points), bool)
-        for a in range(0, len(out), 1024):
-            close = self.points[a : a + 1024] @ self.points.T >= 1 - radius * radius / 2 - 1e-9
-            out[a : a + 1024] = close.sum(axis=1) > 1
+        near = 1 - radius * radius / 2
+        free = np.flatnonzero(self._closest(np.arange(len(self.points)), kept) < near)
+        if not len(free):
+            return kept
+        # points without another free one near by are centres in any order, the rest are taken in turn
+        alone = self._closest(free, free, itself=False) < near
+        added, rest = [free[alone]], free[~alone]
+        while len(rest):
+            added.append(rest[:1])
+            rest = rest[self.points[rest] @ self.points[rest[0]] < near]
+        return np.sort(np.concatenate([kept, *added]))
+
+    def _closest(self, some: np.ndarray, others: np.ndarray, itself: bool = True) -> np.ndarray:
+        """Largest cosine of each of some points to one of the others."""
+        out = np.full(len(some), -2.0)
+        for a in range(0, len(some) if len(others) else 0, 1024):
+            dots = self.points[some[a : a + 1024]] @ self.points[others].T
+            if not itself:
+                dots[np.arange(len(dots)), np.arange(a, a + len(dots))] = -2.0
+            out[a : a + 1024] = dots.max(axis=1)
         return out
 
     def _nearest(self, fine: np.ndarray, coarse: np.ndarray) -> np.ndarray:
@@ -85,12 +89,29 @@ class CoverTree:
         return out
 
 
-def _squares(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    return np.maximum(2 - 2 * (points @ centre), 0)
+def _child_pairs(
+    left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, most: int = 1 << 16,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of children of the node pairs, in portions of about ``most``."""
+    (order_a, ends_a), (order_b, ends_b) = left, right
+    wide = np.diff(ends_b)[b]
+    # one entry for each child of a, which then meets all children of b
+    tall = np.diff(ends_a)[a]
+    pair = np.repeat(np.arange(len(a)), tall)
+    child = order_a[np.repeat(ends_a[a], tall) + np.arange(len(pair)) - np.repeat(np.cumsum(tall) - tall, tall)]
+    done = np.cumsum(wide[pair])
+    start = 0
+    while start < len(pair):
+        stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + most, "right")))
+        part = pair[start:stop]
+        each = wide[part]
+        at = np.repeat(ends_b[b[part]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        yield np.repeat(child[start:stop], each), order_b[at]
+        start = stop
 
 
 def close_pairs(left: CoverTree, right: CoverTree, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of points within ``limit``: node pairs are dropped level by level.
+    """All pairs of points within ``limit``, each once for one tree: node pairs are dropped level by level.
 
     A pair of nodes lives on only if the distance of the centres, less both reaches, is
     within the limit; the pairs of a level come from the children of those of the level above.
@@ -99,21 +120,27 @@ def close_pairs(left: CoverTree, right: CoverTree, limit: float) -> tuple[np.nda
         return np.zeros(0, int), np.zeros(0, int)
     a, b = np.zeros(1, int), np.zeros(1, int)
     for level in range(len(left.parent)):
-        kids_a, kids_b = left.children[level], right.children[level]
         own_a, own_b = left.centres[level + 1], right.centres[level + 1]
         reach_a, reach_b = left.reach[level + 1], right.reach[level + 1]
         out = []
-        for x, y in zip(a.tolist(), b.tolist()):
-            i, j = kids_a[x], kids_b[y]
-            for s in range(0, len(i), 2048):
-                part = i[s : s + 2048]
-                dots = left.points[own_a[part]] @ right.points[own_b[j]].T
-                bound = np.minimum(limit + reach_a[part][:, None] + reach_b[j][None, :] + 1e-9, 2.0)
-                p, q = np.nonzero(dots >= 1 - bound * bound / 2)
-                out.append((part[p], j[q]))
-        if not out:
-            return np.zeros(0, int), np.zeros(0, int)
-        a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+        (order_a, ends_a), (order_b, ends_b) = left.children[level], right.children[level]
+        wide = np.diff(ends_a)[a] * np.diff(ends_b)[b] >= WIDE
+        for x, y in zip(a[wide].tolist(), b[wide].tolist()):
+            kids, others = order_a[ends_a[x] : ends_a[x + 1]], order_b[ends_b[y] : ends_b[y + 1]]
+            for s in range(0, len(kids), 1024):
+                part = kids[s : s + 1024]
+                bound = np.minimum(limit + reach_a[part][:, None] + reach_b[others][None, :] + 1e-9, 2.0)
+                i, j = np.nonzero(left.points[own_a[part]] @ right.points[own_b[others]].T >= 1 - bound * bound / 2)
+                out.append((part[i], others[j]))
+        for i, j in _child_pairs(left.children[level], right.children[level], a[~wide], b[~wide]):
+            dots = np.einsum("ij,ij->i", left.points[own_a[i]], right.points[own_b[j]])
+            bound = np.minimum(limit + reach_a[i] + reach_b[j] + 1e-9, 2.0)
+            keep = dots >= 1 - bound * bound / 2
+            out.append((i[keep], j[keep]))
+        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, int) for k in (0, 1))
+        if left is right:  # each pair once
+            once = np.unique(np.minimum(a, b) * len(own_b) + np.maximum(a, b))
+            a, b = once // max(1, len(own_b)), once % max(1, len(own_b))
     return left.centres[-1][a], right.centres[-1][b]
 
 
@@ -174,6 +201,9 @@ def near_duplicate_vectors(
             "id": first.take(pa.array(met)), "links": pa.array(links[met].astype(np.int64)), "root": first.take(pa.array(root[met])),
         })
 
+    # by cell, not by label alone, and not merged by size: the work is in the comparisons
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "label", "width", "cell")
     found = cut(dealt.groupBy("label", "width", "cell").applyInArrow(compare, f"id {kind}, links long, root {kind}"))
     counts = found.groupBy("id").agg(F.sum("links").alias("others"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

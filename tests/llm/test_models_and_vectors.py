@@ -218,8 +218,10 @@ def test_close_pairs_equal_brute_force():
     for level, (centres, reach) in enumerate(zip(tree.centres, tree.reach)):
         assert set(tree.centres[0]) <= set(centres) and len(centres) == len(reach), level
     i, j = covertree.close_pairs(tree, tree, 0.374)
-    want = np.argwhere(np.linalg.norm(points[:, None] - points[None], axis=2) <= 0.374)
-    assert {tuple(p) for p in want} <= set(zip(i.tolist(), j.tolist()))
+    want = {tuple(p) for p in np.argwhere(np.linalg.norm(points[:, None] - points[None], axis=2) <= 0.374)}
+    assert {p for p in want if p[0] <= p[1]} == {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
+    i, j = covertree.close_pairs(tree, covertree.CoverTree(points[:150]), 0.374)
+    assert {p for p in want if p[1] < 150} == set(zip(i.tolist(), j.tolist()))
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
