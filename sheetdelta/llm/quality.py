@@ -87,10 +87,9 @@ def learn_words(docs: DataFrame, text: str, slots: int = SLOTS, dimensions: int
     met = docs.select(F.col(text).cast("string")).mapInArrow(run, "slot int, sums array<float>")
     columns = [F.sum(F.get("sums", F.lit(i)).cast("double")).alias(f"s{i}") for i in range(width)]
     # one row per slot: the number of slots is fixed
-    rows = met.groupBy("slot").agg(F.array(*columns).alias("sums")).collect()
+    rows = met.groupBy("slot").agg(F.array(*columns).alias("sums")).toArrow()
     table = np.zeros((slots, width))
-    for row in rows:
-        table[row.slot] = row.sums
+    table[rows["slot"].to_numpy()] = rows["sums"].combine_chunks().flatten().to_numpy().reshape(-1, width)
     counts = table[:, dimensions]
     norms = np.linalg.norm(table[:, :dimensions], axis=1, keepdims=True)
     vectors = table[:, :dimensions] / np.where(norms > 0, norms, 1)
@@ -176,12 +175,13 @@ def train(
     def pooled(batch) -> dict[str, object]:
         return {"label": batch.column(0), "pooled": [shared.value.pool(token_slots(t, slots)).tolist() for t in encoded(batch.column(1))]}
 
-    rows = per_batch(found.select("label", "text"), pooled, "label int, pooled array<float>").limit(2 * labelled).toPandas()
-    if rows.empty or rows["label"].nunique() < 2:
-        return space, float(rows["label"].mean()) if len(rows) else 0.5
-    inputs = np.array(rows["pooled"].tolist(), np.float32)
+    rows = per_batch(found.select("label", "text"), pooled, "label int, pooled array<float>").limit(2 * labelled).toArrow()
+    truth = rows["label"].to_numpy()
+    if len(np.unique(truth)) < 2:
+        return space, float(truth.mean()) if len(truth) else 0.5
+    inputs = rows["pooled"].combine_chunks().flatten().to_numpy().reshape(len(truth), -1)
     order = np.lexsort(inputs.T[:8])  # the result must not depend on the order of arrival
-    return space, fit(inputs[order], rows["label"].to_numpy()[order])
+    return space, fit(inputs[order], truth[order])
 
 
 def score_quality(

@@ -83,24 +83,28 @@ def _whole(fp: Column, slot: int, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(slot << 32)
 
 
-def _variants(whole: Column, width: int) -> list[Column]:
-    """(sig, side) of a whole segment and of its one-wildcard variants.
+def _variants(whole: Column, width: int) -> Column:
+    """Array of (sig, side) of a whole segment and of its one-wildcard variants.
 
     ``side`` is the bit under the wildcard, 2 for a whole segment. Segments that differ
     in exactly that bit meet under the wildcard with sides 0 and 1; equal segments meet
     whole. So a pair that shares a segment up to one bit meets once for that segment.
     """
-    parts = [F.struct(whole.alias("sig"), F.lit(2).cast("byte").alias("side"))]
-    for bit in range(width):
-        sig = whole.bitwiseAND(F.lit(~(1 << bit))) + F.lit((bit + 1) << 32)
-        parts.append(F.struct(sig.alias("sig"), F.shiftright(whole, bit).bitwiseAND(F.lit(1)).cast("byte").alias("side")))
-    return parts
+    left, right = (lambda c, by, f=f: F.call_function(f, c, by) for f in ("shiftleft", "shiftright"))
+
+    def wildcard(bit: Column) -> Column:
+        free = whole.bitwiseAND(F.bitwise_not(left(F.lit(1).cast("long"), bit)))
+        sig = free + left((bit + 1).cast("long"), F.lit(32))
+        return F.struct(sig.alias("sig"), right(whole, bit).bitwiseAND(F.lit(1)).cast("byte").alias("side"))
+
+    itself = F.array(F.struct(whole.alias("sig"), F.lit(2).cast("byte").alias("side")))
+    return F.concat(itself, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), wildcard))
 
 
 def _signatures(fps: DataFrame, segments: list[tuple[str, int, int, int]]) -> DataFrame:
     """(sig, side) beside the columns of ``fps``, for every segment and wildcard."""
-    parts = [v for lane, slot, low, width in segments for v in _variants(_whole(F.col(lane), slot, low, width), width)]
-    return fps.select("*", F.explode(F.array(*parts)).alias("s")).select("s.sig", "s.side", *fps.columns)
+    parts = [_variants(_whole(F.col(lane), slot, low, width), width) for lane, slot, low, width in segments]
+    return fps.select("*", F.explode(F.concat(*parts)).alias("s")).select("s.sig", "s.side", *fps.columns)
 
 
 def _large_signatures(fps: DataFrame, segments: list[tuple[str, int, int, int]], block: int) -> DataFrame:
@@ -113,7 +117,7 @@ def _large_signatures(fps: DataFrame, segments: list[tuple[str, int, int, int]],
     for lane, slot, low, width in segments:
         heavy = fps.groupBy(_whole(F.col(lane), slot, low, width).alias("whole")).agg(F.count("*").alias("n"))
         heavy = heavy.filter(F.col("n") > block // 2)
-        sigs = heavy.select("n", F.explode(F.array(*_variants(F.col("whole"), width))).alias("s")).select("s.sig", "n")
+        sigs = heavy.select("n", F.explode(_variants(F.col("whole"), width)).alias("s")).select("s.sig", "n")
         found = sigs if found is None else found.unionByName(sigs)
     sizes = found.groupBy("sig").agg(F.sum("n").alias("n"))
     return cut(sizes.select("sig", F.ceil((F.col("n") + block // 2) / block).cast("int").alias("blocks")))
