@@ -17,6 +17,12 @@ from sheetdelta.session import cut
 
 #: Fingerprints of one signature that a task compares at once; larger signatures are dealt to blocks.
 BLOCK = 512
+#: The same for half segments, whose wildcards are set within the task.
+HALF_BLOCK = 32_768
+#: Pairs that a task compares at once.
+PAIRS = 1 << 20
+#: Lanes that the distance is measured on; further ones only add segments.
+MEASURED = 4
 
 
 # Fixed value: odd multiplier that makes further lanes of a fingerprint from one hash.
@@ -25,9 +31,14 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
     """Majority bits of the hashes of all shingles of ``words`` words, repeats included; 64 per lane."""
+    return _lanes(_shingles(text, words), lanes)
+
+
+def _shingles(text: bytes, words: int) -> np.ndarray:
+    """Hash of every shingle, in text order; a shorter text is one shingle, one without a word has none."""
     parts = text.lower().split()
     if not parts:
-        return [0] * lanes
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
@@ -35,7 +46,12 @@ def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
     digest = xxhash.xxh64_intdigest
     last = max(1, len(parts) - words + 1)
     stop = ends[words - 1 :] if len(parts) >= words else ends[-1:]
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:last], stop)), np.uint64, last)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:last], stop)), np.uint64, last)
+
+
+def _lanes(hashes: np.ndarray, lanes: int) -> list[int]:
+    if not len(hashes):
+        return [0] * lanes
     out = []
     for _ in range(lanes):
         out.append(_majority(hashes))
@@ -228,30 +244,137 @@ def near_duplicates(
     return prints.join(members, names).select(key, *names, "component_id")
 
 
-def bits_at(similarity: float, width: int) -> int:
-    """Bits by which fingerprints of a Jaccard similarity are expected to differ.
+def bits_within(similarity: float, width: int) -> int:
+    """Bits by which nearly all fingerprints of at least a Jaccard similarity differ at most.
+
+    A bit differs with the angle between the shingle vectors over pi; sets with similarity j
+    have at least the cosine 2j / (1 + j). Four deviations are added to the expected number.
+    """
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(width * apart + 4 * math.sqrt(width * apart * (1 - apart)))
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, words: int, lanes: int) -> DataFrame:
+    """(key, id, lane0, ...) of every row: digest and fingerprint of its distinct shingles."""
+    names = lane_names(lanes)
 
-    A bit differs with the angle between the shingle vectors over pi; sets of equal size
-    with similarity j have the cosine 2j / (1 + j).
+    def work(batch) -> dict[str, object]:
+        sets = [np.unique(_shingles(t, words)) for t in encoded(batch.column(1))]
+        found = np.array([_lanes(s, lanes) for s in sets], np.uint64).view(np.int64)
+        return {"key": batch.column(0), "id": _digests(sets)} | {n: pa.array(found[:, k]) for k, n in enumerate(names)}
+
+    kind = docs.schema[key].dataType.simpleString()
+    schema = ", ".join([f"key {kind}, id long", *(f"{n} long" for n in names)])
+    return per_batch(docs.select(key, F.col(text).cast("string")), work, schema)
+
+
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+
+def _halves(segments: list[tuple[str, int, int, int]]) -> Column:
+    """Array of (sig, side): each half of a segment names a bucket, the other half is its ``side``.
+
+    Segments that differ in at most one bit agree in one of their halves.
+    """
+    out = []
+    for n, (lane, _, low, width) in enumerate(segments):
+        half = width // 2
+        upper = F.shiftrightunsigned(lane, low + half).bitwiseAND(F.lit((1 << (width - half)) - 1))
+        lower = F.shiftrightunsigned(lane, low).bitwiseAND(F.lit((1 << half) - 1))
+        for k, (bucket, rest) in enumerate(((upper, lower), (lower, upper))):
+            out.append(F.struct((bucket + F.lit(2 * n + k << 32)).alias("sig"), rest.cast("int").alias("side")))
+    return F.array(*out)
+
+
+def _met(values: np.ndarray, free: int, equal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in the distinct sorted ``values`` that differ in one of ``free`` bits, or in none."""
+    at = np.arange(len(values))
+    left, right = ([at], [at]) if equal else ([], [])
+    for bit in range(free):
+        zero = at[values >> bit & 1 == 0]
+        other = np.searchsorted(values, values[zero] | 1 << bit)
+        there = np.minimum(other, len(values) - 1)
+        same = values[there] == values[zero] | 1 << bit
+        left.append(zero[same])
+        right.append(there[same])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _products(starts: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members of the pairs of runs, about ``PAIRS`` at once."""
+    sizes = counts[left] * counts[right]
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    for low in range(0, int(edges[-1]), PAIRS):
+        at = np.arange(low, min(low + PAIRS, int(edges[-1])))
+        run = np.searchsorted(edges, at, side="right") - 1
+        a, b, within = left[run], right[run], at - edges[run]
+        i, j = starts[a] + within // counts[b], starts[b] + within % counts[b]
+        once = (a != b) | (i < j)
+        yield i[once], j[once]
+
+
+def link_halves(fps: DataFrame, bits: int, lanes: int, per_lane: int, block: int = HALF_BLOCK) -> DataFrame:
+    """(a, b): links that connect fingerprints within ``bits`` that have a segment within one bit.
+
+    The same pairs as ``link_signatures`` compares, dealt by half segments: two rows per segment
+    are shuffled, and the wildcards of the other half are set within the task. That allows
+    many segments. The distance is that of the first ``MEASURED`` lanes. A connected set of a
+    cell is returned as links to its first member.
     """
-    return int(width * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    segments, names = _segments(lanes, per_lane), lane_names(min(lanes, MEASURED))
+    widths = [width for _, _, _, width in segments]
+    halves = fps.select("id", *names, F.explode(_halves(segments)).alias("s")).select("s.sig", "s.side", "id", *names)
+    sizes = halves.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    cells = _dealt(halves, cut(sizes.select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))))
+
+    def compare(part: pa.Table) -> pa.Table:
+        slot, cell = part["sig"][0].as_py() >> 32, part["cell"][0].as_py()
+        width, upper = widths[slot // 2], slot % 2 == 0
+        order = np.argsort(part["side"].to_numpy(), kind="stable")
+        side, own, ids = (part[n].to_numpy()[order] for n in ("side", "own", "id"))
+        fp = np.stack([part[n].to_numpy()[order] for n in names], axis=1).view(np.uint64)
+        crossed = cell >> 31 != cell & 0x7FFFFFFF
+        values, starts, counts = np.unique(side, return_index=True, return_counts=True)
+        # equal segments meet in the bucket of their upper half only
+        runs = _met(values, width // 2 if upper else width - width // 2, upper)
+        left = right = np.zeros(0, np.int64)
+        for i, j in _products(starts, counts, *runs):
+            if crossed:
+                live = own[i] != own[j]
+                i, j = i[live], j[live]
+            close = _distances(fp[i], fp[j]) <= bits
+            left, right = np.concatenate([left, i[close]]), np.concatenate([right, j[close]])
+            if len(left) > PAIRS:
+                right = roots(left, right, len(ids))
+                left = np.flatnonzero(right != np.arange(len(ids)))
+                right = right[left]
+        root = roots(left, right, len(ids))
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64())})
+
+    return cells.groupBy("sig", "cell").applyInArrow(compare, "a long, b long").distinct()
 
 
 def keep_one(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 2, per_lane: int = 3,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 6, per_lane: int = 4,
+    block: int = HALF_BLOCK,
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies: the row of its smallest key.
 
-    Fingerprints of 64 x ``lanes`` bits estimate the similarity of the shingle sets; those
-    within the bits expected at ``similarity`` are near copies if one of their segments
-    differs by at most one bit. A longer fingerprint estimates better than 64 bits, and
-    its segments stay wide enough to be selective; not every pair at the threshold itself shares
-    one. Texts without a word are copies of each other. Rows with a null key are kept, as
-    nothing names their copy; repeated rows with the key that stays remain.
+    Fingerprints of the distinct shingles are compared where one of ``lanes`` x ``per_lane`` segments
+    differs by at most one bit; those within the bits that nearly all pairs of ``similarity``
+    keep to are near copies. With 24 segments of 16 bits, the index misses 0.04 % of the pairs at 0.8
+    exactly and fewer above it, if bits are independent. Texts without a word are copies of each
+    other. Rows with a null key are kept, as nothing names their copy; repeated rows with the
+    key that stays remain.
     """
     keyed = docs.filter(F.col(key).isNotNull())
-    found = near_duplicates(keyed, key, text, words, bits_at(similarity, 64 * lanes), lanes, per_lane)
-    kept = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
+    prints = cut(shingle_sets(keyed, key, text, words, lanes))
+    folded = cut(prints.groupBy("id", *lane_names(lanes)).agg(F.min("key").alias("first")))
+    near = components(link_halves(folded, bits_within(similarity, 64 * min(lanes, MEASURED)), lanes, per_lane, block))
+    classes = folded.join(near, folded.id == near.node, "left").groupBy(F.coalesce("root", "id").alias("root"))
+    kept = classes.agg(F.min("first").alias("_kept")).select("_kept").distinct()
     return docs.join(kept, docs[key] == kept["_kept"], "left").filter(
         F.col("_kept").isNotNull() | F.col(key).isNull()
     ).drop("_kept")

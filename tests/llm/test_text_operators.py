@@ -171,6 +171,29 @@ def test_keep_one_leaves_one_of_each_group(docs):
     assert sorted(kept.collect(), key=str) == sorted(docs([r for r in rows if r[0] in (1, 3, 5, 6, None)]).collect(), key=str)
 
 
+def altered(draw, words, share, name):
+    """Text of ``words`` with single words replaced until about ``share`` of the 5-word shingles are common."""
+    own, keep = list(words), set(grams(words))
+    while len(keep & set(grams(own))) / len(keep | set(grams(own))) > share:
+        own[draw.randrange(len(own))] = f"{name}x{draw.randrange(10**6)}"
+    return own
+
+
+def grams(words):
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+
+
+@pytest.mark.parametrize("block", [40, 32768])
+def test_near_copies_down_to_the_threshold_are_found(docs, block):
+    draw, rows = random.Random(8), []
+    for pair in range(150):
+        words = [f"p{pair}w{draw.randrange(10**6)}" for _ in range(400)]
+        near = altered(draw, words, 0.83, f"p{pair}")
+        assert len(set(grams(words)) & set(grams(near))) / len(set(grams(words)) | set(grams(near))) >= 0.8
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(near))]
+    assert {r.doc_id for r in simhash.keep_one(docs(rows), block=block).collect()} == set(range(0, 300, 2))
+
+
 def test_simhash_of_an_empty_table(docs):
     assert simhash.near_duplicates(docs([])).collect() == [] and simhash.keep_one(docs([])).collect() == []
 
