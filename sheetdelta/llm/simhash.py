@@ -21,6 +21,8 @@ BLOCK = 512
 HALF_BLOCK = 32_768
 #: Pairs that a task compares at once.
 PAIRS = 1 << 20
+#: Texts of one candidate group that a task compares at once; larger groups are dealt to blocks.
+GROUP_BLOCK = 128
 #: Lanes that the distance is measured on; further ones only add segments.
 MEASURED = 4
 
@@ -156,7 +158,7 @@ def _dealt(signatures: DataFrame, large: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1),
         lambda other: F.least("own", other).cast("long") * (1 << 31) + F.greatest("own", other).cast("long"),
     )
-    return dealt.select("sig", F.explode(cells).alias("cell"), "own", "side", *(c for c in signatures.columns if c not in ("sig", "side")))
+    return dealt.select("sig", F.explode(cells).alias("cell"), "own", *(c for c in signatures.columns if c != "sig"))
 
 
 def link_signatures(fps: DataFrame, bits: int, lanes: int, per_lane: int, block: int = BLOCK) -> DataFrame:
@@ -356,15 +358,81 @@ def link_halves(fps: DataFrame, bits: int, lanes: int, per_lane: int, block: int
     return cells.groupBy("sig", "cell").applyInArrow(compare, "a long, b long").distinct()
 
 
+def similar_sets(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> np.ndarray:
+    """Smallest member of each component of the sets whose exact Jaccard similarity is at least ``similarity``.
+
+    With ``side``, only members of different sides are compared. Members that are connected
+    already are not compared again.
+    """
+    n, label = len(sets), np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets])
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    values, found = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(values), bool)
+    for k in range(n):
+        open_ = (label != label[k]) & (np.minimum(sizes, sizes[k]) >= similarity * np.maximum(sizes, sizes[k]) - 1e-6)
+        if side is not None:
+            open_ &= side != side[k]
+        if not open_.any():
+            continue
+        own = found[edges[k] : edges[k + 1]]
+        mark[own] = True
+        common = np.diff(np.concatenate([[0], np.cumsum(mark[found])])[edges])
+        mark[own] = False
+        near = np.flatnonzero(open_ & (common / np.maximum(1, sizes + sizes[k] - common) >= similarity))
+        if len(near):
+            joined = np.unique(label[np.append(near, k)])
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def _verified(
+    keyed: DataFrame, folded: DataFrame, near: DataFrame, key: str, text: str, words: int, similarity: float, block: int,
+) -> DataFrame:
+    """(a, b): links that connect the shingle sets of each candidate group that are similar enough.
+
+    ``near`` holds (node, root) of the candidate groups. All pairs of a group are compared
+    exactly; a large group is dealt to pairs of blocks, so no task ever holds all of it.
+    """
+    members = cut(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()))
+    large = cut(members.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > block))
+    large = large.select("root", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    wanted = folded.join(members, folded.id == members.node).select("id", "root", F.col("first").alias("_first"))
+    texts = keyed.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    chosen = wanted.join(texts, wanted["_first"] == texts["_key"]).select("id", "root", "_text")
+
+    def work(batch) -> dict[str, object]:
+        sets = [np.unique(_shingles(t, words)) for t in encoded(batch.column(2))]
+        # rows that share the key may have other texts
+        own = _digests(sets) == batch.column(0).to_numpy()
+        return {
+            "id": batch.column(0), "root": batch.column(1), "own": own, "shingles": [s.astype("<u8").tobytes() for s in sets],
+        }
+
+    sets = per_batch(chosen, work, "id long, root long, own boolean, shingles binary").filter("own").drop("own").dropDuplicates(["id"])
+    dealt = _dealt(sets.select(F.col("root").alias("sig"), "id", "shingles"), large.withColumnRenamed("root", "sig"))
+
+    def compare(part: pa.Table) -> pa.Table:
+        ids, own, cell = part["id"].to_numpy(), part["own"].to_numpy(), part["cell"][0].as_py()
+        sets = [np.frombuffer(s, "<u8") for s in part["shingles"].to_pylist()]
+        root = similar_sets(sets, similarity, own if cell >> 31 != cell & 0x7FFFFFFF else None)
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64())})
+
+    return dealt.groupBy("sig", "cell").applyInArrow(compare, "a long, b long")
+
+
 def keep_one(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 6, per_lane: int = 4,
-    block: int = HALF_BLOCK,
+    block: int = HALF_BLOCK, group_block: int = GROUP_BLOCK,
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies: the row of its smallest key.
 
-    Fingerprints of the distinct shingles are compared where one of ``lanes`` x ``per_lane`` segments
-    differs by at most one bit; those within the bits that nearly all pairs of ``similarity``
-    keep to are near copies. With 24 segments of 16 bits, the index misses 0.04 % of the pairs at 0.8
+    Near copies have a Jaccard similarity of at least ``similarity`` between their distinct
+    shingles; groups are connected by such pairs. Fingerprints of the distinct shingles are
+    compared where one of ``lanes`` x ``per_lane`` segments differs by at most one bit; those within
+    the bits that nearly all pairs of ``similarity`` keep to make candidate groups, whose pairs
+    are all verified exactly. With 24 segments of 16 bits, the index misses 0.04 % of the pairs at 0.8
     exactly and fewer above it, if bits are independent. Texts without a word are copies of each
     other. Rows with a null key are kept, as nothing names their copy; repeated rows with the
     key that stays remain.
@@ -373,7 +441,8 @@ def keep_one(
     prints = cut(shingle_sets(keyed, key, text, words, lanes))
     folded = cut(prints.groupBy("id", *lane_names(lanes)).agg(F.min("key").alias("first")))
     near = components(link_halves(folded, bits_within(similarity, 64 * min(lanes, MEASURED)), lanes, per_lane, block))
-    classes = folded.join(near, folded.id == near.node, "left").groupBy(F.coalesce("root", "id").alias("root"))
+    same = components(_verified(keyed, folded, near, key, text, words, similarity, group_block))
+    classes = folded.join(same, folded.id == same.node, "left").groupBy(F.coalesce("root", "id").alias("root"))
     kept = classes.agg(F.min("first").alias("_kept")).select("_kept").distinct()
     return docs.join(kept, docs[key] == kept["_kept"], "left").filter(
         F.col("_kept").isNotNull() | F.col(key).isNull()

@@ -194,6 +194,31 @@ def test_near_copies_down_to_the_threshold_are_found(docs, block):
     assert {r.doc_id for r in simhash.keep_one(docs(rows), block=block).collect()} == set(range(0, 300, 2))
 
 
+@pytest.mark.parametrize("group_block", [4, 128])
+def test_keep_one_equals_brute_force_between_shares(docs, group_block):
+    draw, rows = random.Random(9), [(0, ""), (1, "one two"), (2, "one two three"), (3, "ONE  two")]
+    for family in range(12):
+        words = [f"f{family}w{draw.randrange(10**6)}" for _ in range(200)]
+        rows.append((len(rows), " ".join(words)))
+        rows += [(len(rows) + k, " ".join(altered(draw, words, draw.uniform(0.6, 0.95), f"f{family}"))) for k in range(12)]
+    sets = {k: set(grams(t.lower().split())) for k, t in rows}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    want = {find(k) for k in sets}
+    assert 12 < len(want) < len(rows) - 12
+    assert {r.doc_id for r in simhash.keep_one(docs(rows), group_block=group_block).collect()} == want
+
+
 def test_simhash_of_an_empty_table(docs):
     assert simhash.near_duplicates(docs([])).collect() == [] and simhash.keep_one(docs([])).collect() == []
 
