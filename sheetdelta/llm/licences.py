@@ -46,7 +46,7 @@ TEMPLATES = (
 # Bytes that end a word (all ASCII but digits and lower-case letters).
 _BREAKS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
-#: Words of a file looked up in the index, rarest first.
+#: Words of each wording looked up in a file, the rarest that the file holds first.
 LOOKED_UP = 24
 #: Share of a wording's words that must stand at their place around the verified phrases.
 LEAST_SHARE = 0.5
@@ -89,8 +89,8 @@ class Index:
         phrases = [(p, label) for p, label in self.base if present.issuperset(p)]
         if not candidates and not phrases:
             return starts, base, set(), 0.0
-        ranked = sorted(present, key=lambda w: (-self.idf.get(w, 0.0), w))[:looked_up]
-        wanted = set(ranked).union(*(p for p, _ in phrases), *(self.needs[k] for k in candidates))
+        ranked = {k: sorted(present.intersection(self.texts[k]), key=lambda w: (-self.idf.get(w, 0.0), w))[:looked_up] for k in candidates}
+        wanted = set().union(*ranked.values(), *(p for p, _ in phrases), *(self.needs[k] for k in candidates))
         places: dict[bytes, list[int]] = defaultdict(list)
         for at, word in enumerate(words):
             if word in wanted:
@@ -100,12 +100,12 @@ class Index:
                 starts += found
                 base.add(label)
         votes: dict[tuple[int, int], int] = defaultdict(int)
-        live = set(candidates)
-        for word in ranked:
-            for k, at in self.postings.get(word, ()):
-                if k in live:
-                    for place in places[word]:
-                        votes[k, place - at] += 1
+        for k, rarest in ranked.items():
+            for word in rarest:
+                for own, at in self.postings[word]:
+                    if own == k:
+                        for place in places[word]:
+                            votes[k, place - at] += 1
         more: set[str] = set()
         best = 1.0 if base else 0.0
         by_template: dict[int, list[int]] = defaultdict(list)

@@ -56,6 +56,13 @@ def test_each_wording_is_found_and_no_other(docs, label, wording, keys):
     assert own == {label} and found[2]["labels"] == "" and found[2]["score"] == 0
 
 
+def test_a_text_of_all_wordings_has_all_labels(docs):
+    text = ". ".join(wording for _, wording, _ in licences.TEMPLATES)
+    others = [(k, wording) for k, (_, wording, _) in enumerate(licences.TEMPLATES) for _ in range(3)]
+    found = by_key(licences.scan_licences(docs([(99, text), *others])))
+    assert set(found[99]["labels"].split(",")) >= {label for label, _, _ in licences.TEMPLATES}
+
+
 def test_licences_of_an_empty_table_and_repeated_rows(docs):
     assert licences.scan_licences(docs([])).collect() == []
     assert licences.scan_licences(docs([(1, "mit license"), (1, "mit license"), (None, "x")])).count() == 3
