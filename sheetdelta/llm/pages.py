@@ -43,6 +43,8 @@ MARKS = frozenset(
     "search form contentinfo complementary toolbar skip".split()
 )
 KEEPS = frozenset("html body main article".split())
+#: Marks that layouts put on wrappers of the article as well.
+AMBIGUOUS = frozenset("header form side sidebar search related".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
@@ -57,22 +59,26 @@ class Element:
     name: str
     dropped: bool = False
     article: bool = False
+    #: the words of MARKS that alone are why it is dropped
+    marks: frozenset = frozenset()
     items: list = field(default_factory=list)
 
 
-def _is_dropped(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element and all it holds is left out, and whether it is marked as main content."""
+def _is_dropped(name: str, attributes: str) -> tuple[bool, bool, frozenset]:
+    """Whether an element and all it holds is left out, whether it is marked as main content, and its marks."""
+    none: frozenset = frozenset()
     if not attributes or attributes.isspace():
-        return False, False
+        return False, False, none
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     role = found.get("role", "").lower()
     main = role == "main" or found.get("itemprop", "").lower() == "articlebody"
     if name in KEEPS or main:
-        return False, main
+        return False, main, none
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True, False
+        return True, False, none
     words = _PART.findall(" ".join((found.get("class", ""), found.get("id", ""), role)).lower())
-    return not MARKS.isdisjoint(words), False
+    marks = MARKS.intersection(words)
+    return bool(marks), False, marks
 
 
 def parse(source: str) -> Element:
@@ -99,8 +105,8 @@ def parse(source: str) -> Element:
             _close(stack, frozenset(["p"]), BLOCK - {"p"})
         if name in IMPLIED:
             _close(stack, *IMPLIED[name])
-        dropped, main = _is_dropped(name, token[3])
-        element = Element(name, dropped, main or name == "article")
+        dropped, main, marks = _is_dropped(name, token[3])
+        element = Element(name, dropped, main or name == "article", marks)
         stack[-1].items.append(element)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
@@ -122,6 +128,42 @@ def _close(stack: list[Element], names: frozenset[str], fence: frozenset[str]) -
             return
 
 
+def _release(root: Element) -> None:
+    """Takes back marks of wrappers: of those around the only articles or main, and around most of the text.
+
+    Marks inside an article stay, as do those that hold most of the text without an article
+    and are not ambiguous.
+    """
+    order: list[tuple[Element, int, bool]] = []
+    kept = False
+    todo = [(root, -1, False, False)]
+    while todo:
+        now, parent, inside, left = todo.pop()
+        left = left or now.dropped
+        main = now.article or now.name == "main"
+        kept = kept or main and not left
+        at = len(order)
+        order.append((now, parent, inside))
+        inside = inside or now.name == "article"
+        todo += [
+            (i, at, inside, left) for i in now.items
+            if isinstance(i, Element) and i.name not in DROPPED and not (i.dropped and not i.marks)
+        ]
+    if not any(e.marks and not inside for e, _, inside in order):
+        return
+    size = [sum(len(i.strip()) for i in e.items if isinstance(i, str)) for e, _, _ in order]
+    holds = [False] * len(order)
+    for at in range(len(order) - 1, 0, -1):
+        now, parent, _ = order[at]
+        size[parent] += size[at]
+        holds[parent] |= holds[at] or now.article or now.name == "main"
+    for at, (now, _, inside) in enumerate(order):
+        if now.marks and not inside:
+            most = 2 * size[at] > size[0]
+            if holds[at] and (most or not kept) or most and now.marks <= AMBIGUOUS:
+                now.dropped = False
+
+
 def _scopes(element: Element, inside: bool = False) -> Iterator[Element]:
     """Outermost article elements that are not left out."""
     todo = [element]
@@ -173,7 +215,7 @@ def blocks(scope: Element) -> list[Block]:
             run.append(item)
         elif item.name == "br":
             run.append(" ")
-        elif item.dropped:
+        elif item.dropped and not (scope.article and item.marks == {"header"} and _holds_heading(item)):
             continue
         elif item.name in DROPPED and not (scope.article and item.name == "header" and _holds_heading(item)):
             continue
@@ -192,6 +234,7 @@ def _holds_heading(element: Element) -> bool:
 def main_blocks(source: str) -> list[Block]:
     """Blocks of the article: of the longest article element, else of main, else of the whole page."""
     root = parse(source)
+    _release(root)
     found = [blocks(s) for s in _scopes(root)]
     if found:
         return max(found, key=lambda bs: sum(len(b.text) for b in bs))

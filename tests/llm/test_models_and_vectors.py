@@ -144,6 +144,24 @@ def test_site_templates_go_and_copied_articles_stay(spark):
     assert all(found[100 + k].startswith("Head & line\nOne two three") for k in range(20))
 
 
+@pytest.mark.parametrize("wrapper", [
+    "class='content has-sidebar'", "class=no-sidebar", "class='search-page'", "id='post-form'", "class='site header'",
+])
+def test_marks_on_a_wrapper_do_not_lose_the_article(wrapper):
+    article = "<article><div class='entry-header'><h1>Head</h1></div><p>One two three four</p><div id=comments>no</div></article>"
+    ads = "<div class=ad>Buy</div><div class=sidebar>Side</div>"
+    for inner in (article, article.replace("article>", "main>"), f"<main>{article}</main>", "<p>One two three four five six</p>"):
+        for page in (f"<div {wrapper}>{inner}</div>{ads}", f"<div role=main><div {wrapper}>{inner}</div>{ads}</div>"):
+            text = " ".join(b.text for b in pages.main_blocks(page))
+            assert "One two three four" in text and not any(w in text for w in ("no", "Buy", "Side"))
+            assert "article" not in inner or text.startswith("Head")
+
+
+def test_marks_beside_the_article_still_count():
+    page = "<article><p>One two three four five six</p></article><div id=comments><article>so true</article></div>"
+    assert [b.text for b in pages.main_blocks(f"<div role=main>{page}</div>")] == ["One two three four five six"]
+
+
 def test_deep_and_long_pages(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     long = "<article>" + "<p>word &eacute;</p>" * 20000
