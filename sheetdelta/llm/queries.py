@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetdelta.llm import bpe, covertree, languages, licences, mixing, pages, quality, simhash, substring, vptree
+from sheetdelta.llm import bpe, covertree, languages, licences, lines, mixing, pages, quality, simhash, substring, vptree
 from sheetdelta.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,28 @@ from words left join kept using (doc_id)
 @query
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(table(spark, folder, "documents"))
+
+
+@query
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.drop_repeated_lines(table(spark, folder, "documents"), least_chars=20, least_docs=3)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+CHECKS["op12_line_dedup"] = r"""
+with lines as (
+  select doc_id, pos, line,
+    translate(regexp_replace(line, '^[ \t-\r]+|[ \t-\r]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (
+    select doc_id, unnest(ls) as line, unnest(generate_series(1, len(ls))) as pos
+    from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)
+  )
+), common as (
+  select k, max(doc_id) as keeper from lines where length(k) >= 20 group by k having count(distinct doc_id) >= 3
+), marked as (
+  select doc_id, pos, line, coalesce(doc_id < keeper, false) as gone from lines left join common using (k)
+)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
