@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetdelta.llm import bpe, covertree, languages, licences, lines, mixing, pages, quality, simhash, substring, vptree
+from sheetdelta.llm import bpe, collocations, covertree, languages, licences, lines, mixing, pages, quality, ranking, simhash, substring, vptree
 from sheetdelta.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +133,36 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(table(spark, folder, "documents"))
 
 
+@query
+def op11_bitsliced_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
+CHECKS["op11_bitsliced_ranking"] = r"""
+with terms as (
+  select 'd' as kind, doc_id as id, text from documents union all select 'i', item_id, text from benchmark
+), split as (
+  select kind, id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+  from terms
+), counted as (
+  select id, t, count(*) as tf from split where kind = 'd' group by id, t
+), sizes as (
+  select id, sum(tf)::bigint as n from counted group by id
+), facts as (
+  select count(*) as docs, sum(n)::bigint as len from sizes
+), weights as (
+  select t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from counted, facts group by t
+), scored as (
+  select i.id as item_id, c.id as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // len))))::bigint as score
+  from (select distinct id, t from split where kind = 'i') i join counted c using (t) join weights using (t)
+  join sizes s on s.id = c.id cross join facts group by i.id, c.id
+)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 50
+"""
+
+
 @query
 def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = lines.drop_repeated_lines(table(spark, folder, "documents"), least_chars=20, least_docs=3)
@@ -156,3 +186,47 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from marked group by doc_id
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+CHECKS["op13_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), words as (
+  select lang, regexp_extract_all(piece, '[^ \t]+') as w from pieces
+), grams as (
+  select lang, k, w[i:i + k - 1] as p from (
+    select lang, w, k, unnest(generate_series(1, len(w) - k + 1)) as i
+    from (select lang, w, unnest(generate_series(1, 4)) as k from words)
+  )
+), counted as (
+  select lang, k, p, count(*) as f from grams group by all
+), totals as (
+  select lang, sum(f) as n from counted where k = 1 group by lang
+), cuts as (
+  select c.lang, c.k, c.p, c.f as a, c.j, x.f as l, y.f as r, (2000000::hugeint * c.f) // (x.f + y.f) as score
+  from (select *, unnest(generate_series(1, k - 1)) as j from counted where k > 1 and f >= 30) c
+  join counted x on x.lang = c.lang and x.p = c.p[1:c.j] join counted y on y.lang = c.lang and y.p = c.p[c.j + 1:c.k]
+), scored as (
+  select *, array_to_string(p, ' ') as phrase from cuts
+  qualify row_number() over (partition by lang, p order by score, j) = 1
+), inner_parts as (
+  select c.lang, c.p[i:i + m - 1] as p, max(c.f) as around
+  from (
+    select *, unnest(generate_series(1, k - m + 1)) as i
+    from (select *, unnest(generate_series(2, k - 1)) as m from counted where k > 2 and f >= 30)
+  ) c group by all
+), kept as (
+  select s.* from scored s left join inner_parts q on q.lang = s.lang and q.p = s.p
+  where around is null or 100 * around < 80 * a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank, phrase,
+  a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from kept join totals using (lang) qualify rank <= 2000
+"""
