@@ -288,9 +288,9 @@ def rank_documents(
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     names = {"item": item_key, "key": key}
     schema = f"item {item_kind}, key {kind}, score long"
+    found = docs.sparkSession.createDataFrame([], schema)
     if not documents:
-        empty = docs.sparkSession.createDataFrame([], f"item {item_kind}, rank int, key {kind}, score long")
-        return empty.withColumnsRenamed(names)
+        return _best(found, k, names)
     asked = cut(_item_terms(items, item_key, item_text))
     # only counts of terms that an item asks for are gathered
     counts = _term_counts(shards).join(asked.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("df"))
@@ -300,7 +300,6 @@ def rank_documents(
     passes = max(1, -(-total // PASS_TERMS))
     queries = cut(weighed.groupBy("item").agg(
         F.array_sort(F.collect_list(F.struct("term", "w"))).alias("terms"), F.pmod(F.xxhash64("item"), F.lit(passes)).alias("turn")))
-    found = None
     target = arrow_schema(schema)
     for turn in range(passes):
         # bounded: the terms of one pass
@@ -318,8 +317,11 @@ def rank_documents(
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
-        part = shards.mapInArrow(work, schema)
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(shards.mapInArrow(work, schema))
+    return _best(found, k, names)
+
+
+def _best(found: DataFrame, k: int, names: dict[str, str]) -> DataFrame:
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("key"))
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("item", "rank", "key", "score").withColumnsRenamed(names)
