@@ -10,11 +10,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetdelta.llm.common import arrow_schema, encoded, per_batch
+from sheetdelta.llm.common import arrow_schema, encoded, per_batch, written
 from sheetdelta.session import cut
 
-#: Words of one block of a relation, about; a document is never cut.
-BLOCK_WORDS = 500_000
+#: Words of one block of a relation, and of all blocks that a task holds, about; a document is never cut.
+BLOCK_WORDS, HELD_WORDS = 1_000_000, 3_000_000
 #: Groups that each bring their own best phrases before those of a language are ranked.
 GROUPS = 64
 
@@ -40,69 +40,78 @@ class _Places(dict):
         return found
 
 
+def _packed(at: np.ndarray, place: np.ndarray, distinct: int) -> dict[str, bytes]:
+    """A relation sorted by position, as gaps and as places in the block's own dictionary."""
+    width = "<u2" if distinct <= 1 << 16 else "<u4"
+    return {"gap": np.diff(at, prepend=0).astype("<i4").tobytes(), "place": place.astype(width).tobytes()}
+
+
+def _unpacked(batch: pa.RecordBatch, k: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    width = "<u2" if distinct <= 1 << 16 else "<u4"
+    at = np.cumsum(np.frombuffer(batch["gap"][k].as_py(), "<i4"), dtype=np.int64)
+    return at, np.frombuffer(batch["place"][k].as_py(), width).astype(np.int64)
+
+
 class _Block:
     """Documents of one language that a task gathers to one row."""
 
     def __init__(self) -> None:
         self.places, self.parts, self.size = _Places(), [], 0
 
-    def add(self, text: bytes) -> None:
-        found = list(map(self.places.__getitem__, words_and_ends(text)))
-        self.parts.append(np.array([*found, 0], np.int32))
-        self.size += len(found)
+    def add(self, text: bytes) -> int:
+        found = np.array([*map(self.places.__getitem__, words_and_ends(text)), 0], np.int32)
+        self.parts.append(found)
+        new = int(np.count_nonzero(found))
+        self.size += new
+        return new
 
     def row(self, number: int, lang: str) -> dict[str, object]:
         """Positions of ends stay free, so adjacent positions are adjacent words of one piece."""
         tokens = np.concatenate(self.parts)
-        at = np.flatnonzero(tokens).astype("<i4")
+        at = np.flatnonzero(tokens)
+        words = [w.decode() for w in self.places][1:]
         counts = np.bincount(tokens, minlength=len(self.places))[1:]
-        return {
-            "block": number, "lang": lang, "size": len(at), "words": [w.decode() for w in list(self.places)[1:]],
-            "counts": counts.astype(np.int64), "at": at.tobytes(), "place": (tokens[at] - 1).astype("<i4").tobytes(),
-        }
+        return {"block": number, "lang": lang, "size": len(at), "words": words, "counts": counts} | _packed(at, tokens[at] - 1, len(words))
 
 
 def _blocks(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """One row per block of words: its words with their counts, and the occurrence relation (at, place)."""
-    schema = "block long, lang string, size long, words array<string>, counts array<long>, at binary, place binary"
+    """One row per block of words: its words with their counts, and the occurrence relation."""
+    schema = "block long, lang string, size long, words array<string>, counts array<long>, gap binary, place binary"
     target = arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, {}, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, held, size
-            for name, block in held.items():
-                yield pa.RecordBatch.from_pylist([block.row(number, name)], schema=target)
-                number += 1
-            held, size = {}, 0
-
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
-                block = held.get(name) or held.setdefault(name, _Block())
-                before = block.size
-                block.add(value)
-                size += block.size - before
-                if size >= BLOCK_WORDS:
-                    yield from flush()
-        yield from flush()
+                if name not in held:
+                    held[name] = _Block()
+                size += held[name].add(value)
+                full = list(held) if size >= HELD_WORDS else [name] if held[name].size >= BLOCK_WORDS else []
+                for each in full:
+                    block = held.pop(each)
+                    size, number = size - block.size, number + 1
+                    yield pa.RecordBatch.from_pylist([block.row(number, each)], schema=target)
+        for name, block in held.items():
+            number += 1
+            yield pa.RecordBatch.from_pylist([block.row(number, name)], schema=target)
 
     plain = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.col(text).cast("string"))
     return plain.mapInArrow(work, schema)
 
 
-def _relation(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(batch["at"][k].as_py(), "<i4"), np.frombuffer(batch["id"][k].as_py(), "<i8")
+#: A relation of phrases: positions, and places among the sorted ids of the block.
+RELATION = "block long, gap binary, place binary, ids array<long>"
 
 
-def _merged(at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _adjacent(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Merge join of a sorted relation with itself by adjacent position.
 
     Returns the sorted ids, and for every pair its position and the places of both ids among them.
     """
-    known, own = np.unique(ids, return_inverse=True)
+    known = batch["ids"][k].values.to_numpy()
+    at, place = _unpacked(batch, k, len(known))
     first = np.flatnonzero(at[1:] == at[:-1] + 1)
-    return known, at[first], own[first], own[first + 1]
+    return known, at[first], place[first], place[first + 1]
 
 
 def _pairs(relation: DataFrame) -> DataFrame:
@@ -112,7 +121,7 @@ def _pairs(relation: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                known, _, a, b = _merged(*_relation(batch, k))
+                known, _, a, b = _adjacent(batch, k)
                 pairs, counts = np.unique(a * len(known) + b, return_counts=True)
                 if len(pairs):
                     block = np.full(len(pairs), batch["block"][k].as_py())
@@ -122,46 +131,49 @@ def _pairs(relation: DataFrame) -> DataFrame:
     return relation.mapInArrow(work, "block long, a long, b long, n long")
 
 
+def _row(at: np.ndarray, ids: np.ndarray) -> dict[str, object]:
+    known, place = np.unique(ids, return_inverse=True)
+    return {"ids": known} | _packed(at, place, len(known))
+
+
 def _longer(relation: DataFrame, ids: DataFrame) -> DataFrame:
-    """(block, at, id): the relation of the phrases one word longer that ``ids`` (block, a, b, id) names."""
-    named = ids.groupBy("block").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("id").alias("ids"))
+    """The relation of the phrases one word longer that ``ids`` (block, a, b, id) names."""
+    named = ids.groupBy("block").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("id").alias("new"))
 
     def work(batch) -> dict[str, object]:
-        out: dict[str, list] = {"at": [], "id": []}
+        out = []
         for k in range(batch.num_rows):
-            known, at, a, b = _merged(*_relation(batch, k))
-            first, last, new = (batch[n][k].values.to_numpy() for n in ("a", "b", "ids"))
+            known, at, a, b = _adjacent(batch, k)
+            first, last, new = (batch[n][k].values.to_numpy() for n in ("a", "b", "new"))
             code = np.searchsorted(known, first) * len(known) + np.searchsorted(known, last)
             order = np.argsort(code)
             code, new, own = code[order], new[order], a * len(known) + b
             place = np.minimum(np.searchsorted(code, own), len(code) - 1)
             held = code[place] == own
-            out["at"].append(at[held].astype("<i4").tobytes())
-            out["id"].append(new[place[held]].astype("<i8").tobytes())
-        return {"block": batch["block"]} | out
+            out.append(_row(at[held], new[place[held]]))
+        return {"block": batch["block"]} | {n: [row[n] for row in out] for n in ("gap", "place", "ids")}
 
-    return per_batch(relation.join(named, "block"), work, "block long, at binary, id binary")
+    return per_batch(relation.join(named, "block"), work, RELATION)
 
 
 def _word_relation(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """(block, at, id): occurrences of frequent words."""
-    each = blocks.select("block", "lang", F.posexplode("words").alias("place", "word"))
+    """The relation of the occurrences of frequent words."""
+    each = blocks.select("block", "lang", F.posexplode("words").alias("at", "word"))
     named = each.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(
-        F.collect_list("place").alias("places"), F.collect_list("id").alias("ids"))
+        F.collect_list("at").alias("places"), F.collect_list("id").alias("new"))
+    own = blocks.select("block", "gap", "place", F.size("words").alias("distinct"))
 
     def work(batch) -> dict[str, object]:
-        out: dict[str, list] = {"at": [], "id": []}
+        out = []
         for k in range(batch.num_rows):
-            at, place = (np.frombuffer(batch[n][k].as_py(), "<i4") for n in ("at", "place"))
-            ids = np.full(int(place.max()) + 1, -1, "<i8")
-            ids[batch["places"][k].values.to_numpy()] = batch["ids"][k].values.to_numpy()
-            own = ids[place]
-            out["at"].append(at[own >= 0].tobytes())
-            out["id"].append(own[own >= 0].tobytes())
-        return {"block": batch["block"]} | out
+            at, place = _unpacked(batch, k, batch["distinct"][k].as_py())
+            ids = np.full(batch["distinct"][k].as_py(), -1, np.int64)
+            ids[batch["places"][k].values.to_numpy()] = batch["new"][k].values.to_numpy()
+            found = ids[place]
+            out.append(_row(at[found >= 0], found[found >= 0]))
+        return {"block": batch["block"]} | {n: [row[n] for row in out] for n in ("gap", "place", "ids")}
 
-    joined = blocks.select("block", "at", "place").join(named, "block")
-    return per_batch(joined, work, "block long, at binary, id binary")
+    return per_batch(own.join(named, "block"), work, RELATION)
 
 
 def _named_phrases(counted: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -199,12 +211,13 @@ def collocations(
     exactly, by ids. Null texts are empty, a null language is ``und``; repeated rows count each;
     no word gives no row. Other columns are not read.
     """
-    blocks = cut(_blocks(docs, lang, text))
+    blocks, forget = written(_blocks(docs, lang, text))
     totals = cut(blocks.groupBy("lang").agg(F.sum("size").alias("n")))
     each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word"))
     words = each.agg(F.sum("w.counts").alias("f")).filter(F.col("f") >= least)
     words = cut(words.withColumn("id", F.monotonically_increasing_id()))
-    relation = cut(_word_relation(blocks, words))
+    relation, following = written(_word_relation(blocks, words))
+    forget()
     none = F.array().cast("array<long>")
     level = words.select("id", "lang", F.array("word").alias("words"), "f", none.alias("pre"), none.alias("suf"))
     levels = []
@@ -214,7 +227,10 @@ def collocations(
         level = cut(_named_phrases(frequent.select("a", "b", "f").distinct(), level))
         levels.append(level)
         if k < longest:
-            relation = cut(_longer(relation, frequent.join(level.select("a", "b", "id"), ["a", "b"]).select("block", "a", "b", "id")))
+            ids = frequent.join(level.select("a", "b", "id"), ["a", "b"]).select("block", "a", "b", "id")
+            forget = following
+            relation, following = written(_longer(relation, ids))
+            forget()
     return _ranked(levels, totals, covered, top)
 
 

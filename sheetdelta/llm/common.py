@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetdelta.session import remove, scratch_path
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -16,6 +18,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a table in the shared folder, and what deletes it once a later table replaces it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: remove(spark, path)
+
+
 def held_out(key: Column) -> Column:
     """Rows that no model learns from: crc32 of the key as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -215,6 +215,7 @@ def wide(spark, rows):
 @pytest.mark.parametrize("block_words, least", [(1, 3), (150, 3), (500_000, 8)])
 def test_collocations_equal_brute_force(spark, monkeypatch, block_words, least):
     monkeypatch.setattr(collocations, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(collocations, "HELD_WORDS", 2 * block_words)
     draw = random.Random(8)
     rows = [(draw.choice(["en", "fr", None, ""]), t) for t in [*texts(9, 60), *ODD, *["Of the data, run the row of x"] * 9]]
     found = {tuple(r) for r in collocations.collocations(wide(spark, rows), least=least).collect()}
