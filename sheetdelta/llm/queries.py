@@ -96,7 +96,7 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.encode_documents(table(spark, folder, "documents"), path))
+    return bpe.digest_documents(table(spark, folder, "documents"), path)
 
 
 @query

@@ -82,6 +82,17 @@ def test_ids_and_text_equal_the_library(docs):
         assert found[key]["decoded"] == library.decode(want, skip_special_tokens=False)
 
 
+def test_white_space_of_any_kind_and_forgotten_pieces_equal_the_library():
+    library, draw = Tokenizer.from_file(VOCABULARY), random.Random(4)
+    with open(VOCABULARY, encoding="utf-8") as file:
+        encoder = bpe.Encoder(bpe.Vocabulary(json.load(file)), kept=7)
+    texts = ["".join(draw.choice(["a", "the", "'s", "9", ".", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u3000"]) for _ in range(12)) for _ in range(3000)]
+    for text, ids in zip(texts, [*encoder.encode(texts[:2000]), *encoder.encode(texts[2000:])]):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)
+        assert encoder.decode(ids) == library.decode(want, skip_special_tokens=False)
+
+
 def test_forced_boundaries_lie_between_tokens():
     with open(VOCABULARY, encoding="utf-8") as file:
         encoder = bpe.Vocabulary(json.load(file)).encoder()
@@ -93,7 +104,7 @@ def test_forced_boundaries_lie_between_tokens():
 
 
 def test_digests(docs):
-    found = by_key(bpe.digests(bpe.encode_documents(docs([(1, "hello"), (2, None)]), VOCABULARY)))
+    found = by_key(bpe.digest_documents(docs([(1, "hello"), (2, None)]), VOCABULARY))
     ids = Tokenizer.from_file(VOCABULARY).encode("hello", add_special_tokens=False).ids
     assert found[1]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert found[2] == {
