@@ -10,11 +10,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetdelta.llm.common import arrow_schema, encoded, per_batch, written
+from sheetdelta.llm.common import arrow_schema, bucketed, encoded, per_batch
 from sheetdelta.session import cut
 
 #: Words of one block of a relation, and of all blocks that a task holds, about; a document is never cut.
-BLOCK_WORDS, HELD_WORDS = 1_000_000, 3_000_000
+BLOCK_WORDS, HELD_WORDS = 2_000_000, 4_000_000
 #: Groups that each bring their own best phrases before those of a language are ranked.
 GROUPS = 64
 
@@ -136,6 +136,17 @@ def _row(at: np.ndarray, ids: np.ndarray) -> dict[str, object]:
     return {"ids": known} | _packed(at, place, len(known))
 
 
+def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Rows of keys that occur ``least`` times in all, with that number ``f`` and an ``id`` of the key.
+
+    The id is the number of one of the key's rows, so nothing is joined to get it.
+    """
+    same = Window.partitionBy(*keys)
+    numbered = rows.repartition(*keys).withColumn("at", F.monotonically_increasing_id())
+    counted = numbered.withColumn("f", F.sum("n").over(same)).withColumn("id", F.min("at").over(same))
+    return counted.filter(F.col("f") >= least).drop("n", "at")
+
+
 def _longer(relation: DataFrame, ids: DataFrame) -> DataFrame:
     """The relation of the phrases one word longer that ``ids`` (block, a, b, id) names."""
     named = ids.groupBy("block").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("id").alias("new"))
@@ -158,9 +169,7 @@ def _longer(relation: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _word_relation(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """The relation of the occurrences of frequent words."""
-    each = blocks.select("block", "lang", F.posexplode("words").alias("at", "word"))
-    named = each.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(
-        F.collect_list("at").alias("places"), F.collect_list("id").alias("new"))
+    named = words.groupBy("block").agg(F.collect_list("slot").alias("places"), F.collect_list("id").alias("new"))
     own = blocks.select("block", "gap", "place", F.size("words").alias("distinct"))
 
     def work(batch) -> dict[str, object]:
@@ -182,7 +191,7 @@ def _named_phrases(counted: DataFrame, shorter: DataFrame) -> DataFrame:
     b = shorter.select(
         F.col("id").alias("b"), F.element_at("words", -1).alias("_last"), F.array_prepend("suf", F.col("f")).alias("suf"))
     return counted.join(a, "a").join(b, "b").select(
-        F.monotonically_increasing_id().alias("id"), "lang", F.array_append("_first", F.col("_last")).alias("words"),
+        "id", "lang", F.array_append("_first", F.col("_last")).alias("words"),
         "f", "pre", "suf", "a", "b",
     )
 
@@ -211,26 +220,26 @@ def collocations(
     exactly, by ids. Null texts are empty, a null language is ``und``; repeated rows count each;
     no word gives no row. Other columns are not read.
     """
-    blocks, forget = written(_blocks(docs, lang, text))
+    spark = docs.sparkSession
+    name, forget = bucketed(_blocks(docs, lang, text), "block")
+    blocks = spark.table(name)
     totals = cut(blocks.groupBy("lang").agg(F.sum("size").alias("n")))
-    each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word"))
-    words = each.agg(F.sum("w.counts").alias("f")).filter(F.col("f") >= least)
-    words = cut(words.withColumn("id", F.monotonically_increasing_id()))
-    relation, following = written(_word_relation(blocks, words))
+    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("slot", "w"))
+    words = cut(_frequent(each.select("block", "lang", "slot", F.col("w.words").alias("word"), F.col("w.counts").alias("n")), ["lang", "word"], least))
+    name, following = bucketed(_word_relation(blocks, words), "block")
     forget()
     none = F.array().cast("array<long>")
-    level = words.select("id", "lang", F.array("word").alias("words"), "f", none.alias("pre"), none.alias("suf"))
+    level = words.groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("f").alias("f"))
+    level = cut(level.select("id", "lang", F.array("word").alias("words"), "f", none.alias("pre"), none.alias("suf")))
     levels = []
     for k in range(2, longest + 1):
-        same = Window.partitionBy("a", "b")
-        frequent = cut(_pairs(relation).withColumn("f", F.sum("n").over(same)).filter(F.col("f") >= least).select("block", "a", "b", "f"))
-        level = cut(_named_phrases(frequent.select("a", "b", "f").distinct(), level))
+        relation, forget = spark.table(name), following
+        frequent = cut(_frequent(_pairs(relation), ["a", "b"], least))
+        level = cut(_named_phrases(frequent.groupBy("id").agg(*(F.first(c).alias(c) for c in ("a", "b", "f"))), level))
         levels.append(level)
         if k < longest:
-            ids = frequent.join(level.select("a", "b", "id"), ["a", "b"]).select("block", "a", "b", "id")
-            forget = following
-            relation, following = written(_longer(relation, ids))
-            forget()
+            name, following = bucketed(_longer(relation, frequent), "block")
+        forget()
     return _ranked(levels, totals, covered, top)
 
 

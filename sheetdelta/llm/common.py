@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,12 +19,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """``df`` as a table in the shared folder, and what deletes it once a later table replaces it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "step")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), lambda: remove(spark, path)
+def bucketed(rows: DataFrame, key: str) -> tuple[str, Callable[[], None]]:
+    """Writes a table bucketed and sorted by ``key``, and returns its name and what deletes it.
+
+    It has as many buckets as a shuffle makes partitions, so joins on the key leave it where
+    it is. Its files lie in the shared folder.
+    """
+    spark = rows.sparkSession
+    name = f"step_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+
+    def forget() -> None:
+        spark.sql(f"drop table if exists {name}")
+        remove(spark, path)
+
+    return name, forget
 
 
 def held_out(key: Column) -> Column:
