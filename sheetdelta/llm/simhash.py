@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetdelta.llm.common import encoded, per_batch, roots
@@ -316,55 +316,145 @@ def _products(starts: np.ndarray, counts: np.ndarray, left: np.ndarray, right: n
         yield i[once], j[once]
 
 
+def link_groups(rows: DataFrame, block: int, compare: Callable[[pa.Table, np.ndarray | None, np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b): links that connect the members of each group as far as ``compare`` connects them.
+
+    ``rows`` holds ``grp`` and ``id`` (long) beside what is compared. A task compares ``block``
+    members at most, or two blocks of that size. First each block is connected on its own
+    and every member is named by the smallest id it reaches; then one member per name meets
+    those of other blocks, until no names fall together. A group of copies has one name by
+    then. Only where names are left, members of different names are compared across blocks;
+    blocks of one name never meet. So links are in proportion to members, and groups of
+    copies cost no pairs of blocks.
+
+    ``compare`` gets a table, the side of each row (None: all pairs count, else pairs of
+    different sides) and the place of the first row with its name; it returns the place of
+    the smallest row that each row reaches, or a row of the same set.
+    """
+
+    def joined(part: pa.Table, side: np.ndarray | None) -> pa.Table:
+        ids, names = part["id"].to_numpy(), part["name"].to_numpy()
+        _, first, inverse = np.unique(names, return_index=True, return_inverse=True)
+        root = compare(part, side, first[inverse])
+        # a name is one node; each connected set of names takes its smallest
+        low = np.unique(names)
+        left, right = inverse, inverse[root]
+        found = roots(left, right, len(low))
+        moved = np.flatnonzero(found != np.arange(len(low)))
+        return pa.table({
+            "grp": pa.array(np.full(len(moved), part["grp"][0].as_py()), pa.int64()),
+            "a": pa.array(low[moved], pa.int64()), "b": pa.array(low[found[moved]], pa.int64()),
+        })
+
+    def within(part: pa.Table) -> pa.Table:
+        return joined(part, None)
+
+    def across(part: pa.Table) -> pa.Table:
+        own, cell = part["own"].to_numpy(), part["cell"][0].as_py()
+        return joined(part, own if cell >> 31 != cell & 0x7FFFFFFF else None)
+
+    schema = "grp long, a long, b long"
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    large = cut(sizes.select("grp", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    dealt = rows.join(large, "grp", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.lit(0)))
+    first = cut(dealt.drop("blocks").withColumn("name", F.col("id")).groupBy("grp", "own").applyInArrow(within, schema))
+    links = first.select("a", "b")
+    if large.isEmpty():
+        return links
+    members = cut(rows.join(large.select("grp"), "grp"))
+    renamed = first.select("grp", F.col("a").alias("name"), F.col("b").alias("to"))
+    names = members.select("grp", "id", F.col("id").alias("name"))
+    while True:
+        names = cut(names.join(renamed, ["grp", "name"], "left").select("grp", "id", F.coalesce("to", "name").alias("name")))
+        each = names.select("grp", "name").distinct()
+        several = cut(each.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"))
+        if several.isEmpty():
+            return links.unionByName(names.filter("id > name").select(F.col("id").alias("a"), F.col("name").alias("b")))
+        blocks = F.ceil(F.col("n") / block)
+        heads = each.join(several, "grp").select("grp", F.col("name").alias("id"), F.pmod(F.xxhash64("name"), blocks).alias("own"))
+        met = members.join(heads, ["grp", "id"]).withColumn("name", F.col("id"))
+        moved = cut(met.groupBy("grp", "own").applyInArrow(within, schema))
+        # once few names fall together, the rest is left to the cells
+        if moved.count() * 10 < several.agg(F.sum("n")).first()[0]:
+            names = names.join(moved.select("grp", F.col("a").alias("name"), F.col("b").alias("to")), ["grp", "name"], "left")
+            names = cut(names.select("grp", "id", F.coalesce("to", "name").alias("name")))
+            break
+        renamed = moved.select("grp", F.col("a").alias("name"), F.col("b").alias("to"))
+    links = links.unionByName(names.filter("id > name").select(F.col("id").alias("a"), F.col("name").alias("b")))
+    cells = _cells(members.join(names.join(several.select("grp"), "grp"), ["grp", "id"]), block)
+    return links.unionByName(cells.groupBy("grp", "cell").applyInArrow(across, schema).select("a", "b"))
+
+
+def _cells(named: DataFrame, block: int) -> DataFrame:
+    """Members with the cells of two blocks that compare them.
+
+    A name with more than ``block`` members has blocks of its own, which do not meet each other;
+    the other members share blocks, which also meet themselves.
+    """
+    sizes = named.groupBy("grp", "name").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("pool", F.when(F.col("n") > block, F.col("name")))
+    pools = sizes.groupBy("grp", "pool").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    order = Window.partitionBy("grp").orderBy("pool")
+    pools = pools.withColumn("stop", F.sum("blocks").over(order).cast("int"))
+    pools = pools.join(pools.groupBy("grp").agg(F.max("stop").alias("all")), "grp")
+    theirs = pools.select(F.col("grp").alias("_grp"), F.col("pool").alias("_pool"), "blocks", "stop", "all")
+    placed = cut(sizes.select("grp", "name", "pool").join(
+        theirs, (F.col("grp") == F.col("_grp")) & F.col("pool").eqNullSafe(F.col("_pool"))).drop("_grp", "_pool"))
+    dealt = named.join(placed, ["grp", "name"]).withColumn("low", F.col("stop") - F.col("blocks"))
+    dealt = dealt.withColumn("own", (F.col("low") + F.pmod(F.xxhash64("id"), "blocks")).cast("int"))
+    others = F.filter(
+        F.sequence(F.lit(0), F.col("all") - 1),
+        lambda other: F.col("pool").isNull() | (other < F.col("low")) | (other >= F.col("stop")),
+    )
+    cell = F.explode(F.transform(others, lambda other: F.least("own", other).cast("long") * (1 << 31) + F.greatest("own", other).cast("long")))
+    return dealt.withColumn("cell", cell).drop("pool", "blocks", "stop", "all", "low")
+
+
 def link_halves(fps: DataFrame, bits: int, lanes: int, per_lane: int, block: int = HALF_BLOCK) -> DataFrame:
     """(a, b): links that connect fingerprints within ``bits`` that have a segment within one bit.
 
     The same pairs as ``link_signatures`` compares, dealt by half segments: two rows per segment
     are shuffled, and the wildcards of the other half are set within the task. That allows
-    many segments. The distance is that of the first ``MEASURED`` lanes. A connected set of a
-    cell is returned as links to its first member.
+    many segments. The distance is that of the first ``MEASURED`` lanes.
     """
     segments, names = _segments(lanes, per_lane), lane_names(min(lanes, MEASURED))
     widths = [width for _, _, _, width in segments]
-    halves = fps.select("id", *names, F.explode(_halves(segments)).alias("s")).select("s.sig", "s.side", "id", *names)
-    sizes = halves.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    cells = _dealt(halves, cut(sizes.select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))))
+    halves = fps.select("id", *names, F.explode(_halves(segments)).alias("s")).select(F.col("s.sig").alias("grp"), "s.side", "id", *names)
 
-    def compare(part: pa.Table) -> pa.Table:
-        slot, cell = part["sig"][0].as_py() >> 32, part["cell"][0].as_py()
+    def compare(part: pa.Table, block_of: np.ndarray | None, _: np.ndarray) -> np.ndarray:
+        slot = part["grp"][0].as_py() >> 32
         width, upper = widths[slot // 2], slot % 2 == 0
         order = np.argsort(part["side"].to_numpy(), kind="stable")
-        side, own, ids = (part[n].to_numpy()[order] for n in ("side", "own", "id"))
+        side = part["side"].to_numpy()[order]
         fp = np.stack([part[n].to_numpy()[order] for n in names], axis=1).view(np.uint64)
-        crossed = cell >> 31 != cell & 0x7FFFFFFF
         values, starts, counts = np.unique(side, return_index=True, return_counts=True)
         # equal segments meet in the bucket of their upper half only
         runs = _met(values, width // 2 if upper else width - width // 2, upper)
         left = right = np.zeros(0, np.int64)
         for i, j in _products(starts, counts, *runs):
-            if crossed:
-                live = own[i] != own[j]
+            if block_of is not None:
+                live = block_of[order[i]] != block_of[order[j]]
                 i, j = i[live], j[live]
             close = _distances(fp[i], fp[j]) <= bits
             left, right = np.concatenate([left, i[close]]), np.concatenate([right, j[close]])
             if len(left) > PAIRS:
-                right = roots(left, right, len(ids))
-                left = np.flatnonzero(right != np.arange(len(ids)))
+                right = roots(left, right, len(side))
+                left = np.flatnonzero(right != np.arange(len(side)))
                 right = right[left]
-        root = roots(left, right, len(ids))
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64())})
+        root = np.empty(len(side), np.int64)
+        root[order] = order[roots(left, right, len(side))]
+        return root
 
-    return cells.groupBy("sig", "cell").applyInArrow(compare, "a long, b long").distinct()
+    return link_groups(halves, block, compare).distinct()
 
 
-def similar_sets(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> np.ndarray:
-    """Smallest member of each component of the sets whose exact Jaccard similarity is at least ``similarity``.
+def similar_sets(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
+    """A member of each component of the sets whose exact Jaccard similarity is at least ``similarity``, for every set.
 
-    With ``side``, only members of different sides are compared. Members that are connected
-    already are not compared again.
+    With ``side``, only members of different sides are compared. Members with one ``label``, and those
+    that are connected already, are not compared. Without labels the smallest member is returned.
     """
-    n, label = len(sets), np.arange(len(sets))
+    n, label = len(sets), np.arange(len(sets)) if label is None else label.copy()
     sizes = np.array([len(s) for s in sets])
     edges = np.concatenate([[0], np.cumsum(sizes)])
     values, found = np.unique(np.concatenate(sets), return_inverse=True)
@@ -391,12 +481,10 @@ def _verified(
 ) -> DataFrame:
     """(a, b): links that connect the shingle sets of each candidate group that are similar enough.
 
-    ``near`` holds (node, root) of the candidate groups. All pairs of a group are compared
-    exactly; a large group is dealt to pairs of blocks, so no task ever holds all of it.
+    ``near`` holds (node, root) of the candidate groups. All pairs of a group that are not
+    connected otherwise are compared exactly.
     """
-    members = cut(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()))
-    large = cut(members.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > block))
-    large = large.select("root", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     wanted = folded.join(members, folded.id == members.node).select("id", "root", F.col("first").alias("_first"))
     texts = keyed.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     chosen = wanted.join(texts, wanted["_first"] == texts["_key"]).select("id", "root", "_text")
@@ -406,20 +494,15 @@ def _verified(
         # rows that share the key may have other texts
         own = _digests(sets) == batch.column(0).to_numpy()
         return {
-            "id": batch.column(0), "root": batch.column(1), "own": own, "shingles": [s.astype("<u8").tobytes() for s in sets],
+            "id": batch.column(0), "grp": batch.column(1), "own": own, "shingles": [s.astype("<u8").tobytes() for s in sets],
         }
 
-    sets = per_batch(chosen, work, "id long, root long, own boolean, shingles binary").filter("own").drop("own").dropDuplicates(["id"])
-    dealt = _dealt(sets.select(F.col("root").alias("sig"), "id", "shingles"), large.withColumnRenamed("root", "sig"))
+    sets = per_batch(chosen, work, "id long, grp long, own boolean, shingles binary").filter("own").drop("own").dropDuplicates(["id"])
 
-    def compare(part: pa.Table) -> pa.Table:
-        ids, own, cell = part["id"].to_numpy(), part["own"].to_numpy(), part["cell"][0].as_py()
-        sets = [np.frombuffer(s, "<u8") for s in part["shingles"].to_pylist()]
-        root = similar_sets(sets, similarity, own if cell >> 31 != cell & 0x7FFFFFFF else None)
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64())})
+    def compare(part: pa.Table, side: np.ndarray | None, label: np.ndarray) -> np.ndarray:
+        return similar_sets([np.frombuffer(s, "<u8") for s in part["shingles"].to_pylist()], similarity, side, label)
 
-    return dealt.groupBy("sig", "cell").applyInArrow(compare, "a long, b long")
+    return link_groups(cut(sets), block, compare)
 
 
 def keep_one(

@@ -77,28 +77,43 @@ def passages(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np
     return starts, counts, grams[anchor[starts]], content
 
 
+def _folded(starts: np.ndarray, counts: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Number of windows, anchor and content of each different run, how often it stands, and all first windows in its order."""
+    order = np.lexsort((starts, content, anchor))
+    anchor, content = anchor[order], content[order]
+    new = np.append(True, (np.diff(anchor) != 0) | (np.diff(content) != 0))[: len(order)]
+    first = np.flatnonzero(new)
+    places = np.diff(np.append(first, len(order)))
+    return counts[order][first], anchor[first], content[first], places, starts[order]
+
+
 def _row() -> Column:
     """Identity of a row's text: rows may share a key, and may then differ in text."""
     return F.xxhash64(F.col("text")).alias("row")
 
 
 def _all_passages(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, content, key, row, start, n) of every run of windows with a common anchor."""
+    """(anchor, content, key, row, starts, n) of every run of windows with a common anchor.
+
+    A text gives one row for equal runs, however often it repeats them.
+    """
 
     def work(batch) -> dict[str, object]:
-        found = [passages(word_hashes(t.split()), window, gram) for t in encoded(batch.column(2))]
+        found = [_folded(*passages(word_hashes(t.split()), window, gram)) for t in encoded(batch.column(2))]
         sizes = [len(f[0]) for f in found]
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        start, n, anchor, content = (np.concatenate([f[k] for f in found]) for k in range(4))
+        n, anchor, content, places, starts = (np.concatenate([f[k] for f in found]) for k in range(5))
+        edges = pa.array(np.concatenate([[0], np.cumsum(places)]), pa.int32())
         return {
             "anchor": anchor.view(np.int64), "content": content.view(np.int64), "key": batch.column(0).take(pa.array(owner)),
-            "row": batch.column(1).take(pa.array(owner)), "start": start.astype(np.int32), "n": n.astype(np.int32),
+            "row": batch.column(1).take(pa.array(owner)), "starts": pa.ListArray.from_arrays(edges, pa.array(starts, pa.int32())),
+            "n": n.astype(np.int32),
         }
 
     kind = docs.schema["key"].dataType.simpleString()
     return per_batch(
         docs.filter("key is not null").select("key", _row(), "text"), work,
-        f"anchor long, content long, key {kind}, row long, start int, n int",
+        f"anchor long, content long, key {kind}, row long, starts array<int>, n int",
     )
 
 
@@ -180,11 +195,12 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM, dense:
     Each document's windows are grouped into passages with a common anchor. Equal passages
     are folded to their smallest key; every later copy repeats it whole. Different passages
     of one anchor go to a shard, which indexes them and searches each of them for windows
-    held by passages of smaller keys. Spans are (first, end) positions of covered words.
+    held by passages of smaller keys. Spans hold where a passage stands, and its covered
+    parts as (first, end) positions in it.
     """
     found = cut(_all_passages(docs, window, gram))
     folded = cut(found.groupBy("anchor", "content").agg(
-        F.min("key").alias("owner"), F.max("key").alias("last"), F.min_by(F.struct("row", "start", "n"), "key").alias("place"),
+        F.min("key").alias("owner"), F.max("key").alias("last"), F.min_by(F.struct("row", F.col("starts")[0].alias("start"), "n"), "key").alias("place"),
     ))
     anchors = folded.groupBy("anchor").agg(
         F.count("*").alias("variants"), F.min("owner").alias("low"), F.max("last").alias("high")
@@ -199,10 +215,23 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM, dense:
     matched = cut(matched.groupBy("anchor", "content").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
     facts = folded.join(matched, ["anchor", "content"], "left").filter("owner < last or runs is not null").select(
         "anchor", "content", "owner", "runs")
-    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + window - 1).alias("b")))
-    part = F.transform("runs", lambda r: F.struct((F.col("start") + r["at"]).alias("a"), (F.col("start") + r["at"] + r["n"] + window - 1).alias("b")))
-    spans = found.join(facts, ["anchor", "content"]).select("key", "row", F.when(F.col("key") > F.col("owner"), whole).otherwise(part).alias("spans"))
-    return spans.filter("spans is not null").groupBy("key", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + window - 1).alias("b")))
+    part = F.transform("runs", lambda r: F.struct(r["at"].alias("a"), (r["at"] + r["n"] + window - 1).alias("b")))
+    spans = found.join(facts, ["anchor", "content"]).select(
+        "key", "row", "starts", F.when(F.col("key") > F.col("owner"), whole).otherwise(part).alias("parts"))
+    # rows that are the same give the same spans
+    return spans.filter("parts is not null").groupBy("key", "row").agg(F.collect_set(F.struct("starts", "parts")).alias("spans"))
+
+
+def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
+    """Words that no part of a passage covers, wherever the passage stands."""
+    change = np.zeros(len(words) + 1, np.int32)
+    for span in spans:
+        starts = np.array(span["starts"])
+        for part in span["parts"]:
+            np.add.at(change, starts + part["a"], 1)
+            np.add.at(change, starts + part["b"], -1)
+    return [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
@@ -224,10 +253,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             words = value.split()
             total.append(len(words))
             if found:
-                change = np.zeros(len(words) + 1, np.int32)
-                np.add.at(change, [s["a"] for s in found], 1)
-                np.add.at(change, [s["b"] for s in found], -1)
-                words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
+                words = kept_words(words, found)
             removed.append(total[-1] - len(words))
             kept.append(b" ".join(words).decode())
         return {"key": batch.column(0), "n_words": total, "n_removed": removed, "kept": kept}
@@ -241,12 +267,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Rows that lose all their words stay with an empty text.
     """
     plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    spans = repeated_windows(plain, window).withColumnsRenamed({"key": "_key", "row": "_row"})
+    # names that no column of the table has
+    own = {n: "_" * (1 + max(map(len, docs.columns))) + n for n in ("key", "row", "spans", "text")}
+    spans = repeated_windows(plain, window).withColumnsRenamed(own)
     joined = docs.join(
-        spans, (docs[key] == spans["_key"]) & (F.xxhash64(docs[text].cast("string")) == spans["_row"]), "left"
-    ).withColumn("_text", docs[text].cast("string"))
+        spans, (docs[key] == spans[own["key"]]) & (F.xxhash64(docs[text].cast("string")) == spans[own["row"]]), "left"
+    ).withColumn(own["text"], docs[text].cast("string"))
     names = docs.columns
-    at_text, at_spans = joined.columns.index("_text"), joined.columns.index("spans")
+    at_text, at_spans = joined.columns.index(own["text"]), joined.columns.index(own["spans"])
     target = arrow_schema(docs.schema.simpleString()[7:-1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +282,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             out = []
             for value, found in zip(batch.column(at_text).to_pylist(), batch.column(at_spans).to_pylist()):
                 if found:
-                    words = value.encode().split()
-                    change = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(change, [s["a"] for s in found], 1)
-                    np.add.at(change, [s["b"] for s in found], -1)
-                    value = b" ".join([words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]).decode()
+                    value = b" ".join(kept_words(value.encode().split(), found)).decode()
                 out.append(value)
             arrays = [pa.array(out, pa.string()) if n == text else batch.column(k) for k, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)

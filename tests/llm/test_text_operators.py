@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sheetdelta.llm import bpe, licences, queries, simhash, substring
+from sheetdelta.llm.common import roots
 from sheetdelta.llm.fmindex import FMIndex
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -237,6 +238,24 @@ def test_keep_one_equals_brute_force_between_shares(docs, group_block):
     assert {r.doc_id for r in simhash.keep_one(docs(rows), group_block=group_block).collect()} == want
 
 
+def test_a_large_group_of_near_copies_costs_links_in_proportion_to_its_members(spark):
+    draw = random.Random(11)
+    words = [draw.randrange(1 << 60) for _ in range(300)]
+    sets = [np.unique(np.array([*words[:290], *(draw.randrange(1 << 60) for _ in range(10))], np.uint64)) for _ in range(1500)]
+    # two chains of texts that are alike, only neighbours similar enough, and some that are like no other
+    sets += [np.unique(np.array(words[k : k + 250], np.uint64)) for k in range(0, 50, 10)]
+    sets += [np.unique(np.array([draw.randrange(1 << 60) for _ in range(20)], np.uint64)) for _ in range(30)]
+    rows = spark.createDataFrame([(7, k, s.tobytes()) for k, s in enumerate(sets)], "grp long, id long, shingles binary")
+
+    def compare(part, side, label):
+        return simhash.similar_sets([np.frombuffer(s, "<u8") for s in part["shingles"].to_pylist()], 0.8, side, label)
+
+    links = simhash.link_groups(rows, 100, compare).collect()
+    assert len(links) <= 2 * len(sets)
+    found = roots(np.array([r.a for r in links]), np.array([r.b for r in links]), len(sets))
+    assert np.array_equal(found, simhash.similar_sets(sets, 0.8))
+
+
 def test_simhash_of_an_empty_table(docs):
     assert simhash.near_duplicates(docs([])).collect() == [] and simhash.keep_one(docs([])).collect() == []
 
@@ -312,3 +331,14 @@ def test_query_columns(spark):
         found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count(), name
         assert found.select(F.col("doc_id")).distinct().count() == found.count()
+
+
+def test_repeats_leave_with_clashing_columns_and_repeated_words(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, passage, "a", 1, 2, 3), (2, "x " + passage + " y", "b", 1, 2, 3), (3, "again " * 300, "c", 1, 2, 3), (4, "again " * 70, "d", 1, 2, 3)]
+    rows += [rows[1]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, _text int, _row int, _key int")
+    found = sorted(map(tuple, substring.without_repeats(df).collect()))
+    assert [(r[0], r[1], r[2]) for r in found] == [(1, passage, "a"), (2, "x y", "b"), (2, "x y", "b"), (3, "again " * 300, "c"), (4, "", "d")]
+    shown = substring._all_passages(df.select("doc_id", "text").toDF("key", "text"), 50, 12).filter("key = 3").collect()
+    assert len(shown) == 1 and len(shown[0].starts) == 251
