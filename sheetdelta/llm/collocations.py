@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetdelta.llm.common import arrow_schema, bucketed, encoded, per_batch
+from sheetdelta.llm.common import arrow_schema, bucketed, encoded, per_batch, written
 from sheetdelta.session import cut
 
 #: Words of one block of a relation, and of all blocks that a task holds, about; a document is never cut.
@@ -220,26 +220,27 @@ def collocations(
     exactly, by ids. Null texts are empty, a null language is ``und``; repeated rows count each;
     no word gives no row. Other columns are not read.
     """
-    spark = docs.sparkSession
-    name, forget = bucketed(_blocks(docs, lang, text), "block")
-    blocks = spark.table(name)
+    blocks, forget_blocks = bucketed(_blocks(docs, lang, text), "block")
     totals = cut(blocks.groupBy("lang").agg(F.sum("size").alias("n")))
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("slot", "w"))
-    words = cut(_frequent(each.select("block", "lang", "slot", F.col("w.words").alias("word"), F.col("w.counts").alias("n")), ["lang", "word"], least))
-    name, following = bucketed(_word_relation(blocks, words), "block")
-    forget()
+    each = each.select("block", "lang", "slot", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    frequent, forget_frequent = written(_frequent(each, ["lang", "word"], least))
     none = F.array().cast("array<long>")
-    level = words.groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("f").alias("f"))
+    level = frequent.groupBy("id").agg(*(F.first(c).alias(c) for c in ("lang", "word", "f")))
     level = cut(level.select("id", "lang", F.array("word").alias("words"), "f", none.alias("pre"), none.alias("suf")))
+    relation, forget = bucketed(_word_relation(blocks, frequent), "block")
+    forget_blocks()
     levels = []
     for k in range(2, longest + 1):
-        relation, forget = spark.table(name), following
-        frequent = cut(_frequent(_pairs(relation), ["a", "b"], least))
+        forget_frequent()
+        frequent, forget_frequent = written(_frequent(_pairs(relation), ["a", "b"], least))
         level = cut(_named_phrases(frequent.groupBy("id").agg(*(F.first(c).alias(c) for c in ("a", "b", "f"))), level))
         levels.append(level)
+        last, forget_last = relation, forget
         if k < longest:
-            name, following = bucketed(_longer(relation, frequent), "block")
-        forget()
+            relation, forget = bucketed(_longer(last, frequent), "block")
+        forget_last()
+    forget_frequent()
     return _ranked(levels, totals, covered, top)
 
 

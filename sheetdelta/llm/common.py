@@ -19,23 +19,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def bucketed(rows: DataFrame, key: str) -> tuple[str, Callable[[], None]]:
-    """Writes a table bucketed and sorted by ``key``, and returns its name and what deletes it.
+#: Steps whose rows may hold megabytes: pages are cut by size from the first row on, and packed as a stream.
+STEP_OPTIONS = {"compression": "zstd", "parquet.page.size.row.check.min": "1"}
 
-    It has as many buckets as a shuffle makes partitions, so joins on the key leave it where
-    it is. Its files lie in the shared folder.
+
+def written(rows: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``rows`` as a table in the shared folder, and what deletes it once nothing reads it any more."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "step")
+    rows.write.options(**STEP_OPTIONS).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), lambda: remove(spark, path)
+
+
+def bucketed(rows: DataFrame, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The same, bucketed and sorted by ``key``.
+
+    There are as many buckets as a shuffle makes partitions, so joins on the key leave the
+    table where it is.
     """
     spark = rows.sparkSession
     name = f"step_{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    rows.write.bucketBy(buckets, key).sortBy(key).options(**STEP_OPTIONS, path=path).saveAsTable(name)
 
     def forget() -> None:
         spark.sql(f"drop table if exists {name}")
         remove(spark, path)
 
-    return name, forget
+    return spark.table(name), forget
 
 
 def held_out(key: Column) -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetdelta.llm.common import arrow_schema, encoded, per_batch
+from sheetdelta.llm.common import arrow_schema, encoded, per_batch, written
 from sheetdelta.session import cut
 
 #: Most documents of a shard, and most bits of its slices; documents of one shard have about the same number of terms.
@@ -283,7 +283,7 @@ def rank_documents(
     repeated documents are a document each. Rows that share an item key are one item with the
     terms of all, a null key is an item too. Other columns are not read.
     """
-    shards = cut(index_documents(docs, key, text))
+    shards, _ = written(index_documents(docs, key, text))
     documents, length = shards.agg(F.sum(F.size("keys")), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     names = {"item": item_key, "key": key}
