@@ -14,7 +14,7 @@ from sheetdelta.llm.common import arrow_schema, bucketed, encoded, per_batch, wr
 from sheetdelta.session import cut
 
 #: Words of one block of a relation, and of all blocks that a task holds, about; a document is never cut.
-BLOCK_WORDS, HELD_WORDS = 2_000_000, 4_000_000
+BLOCK_WORDS, HELD_WORDS = 500_000, 2_000_000
 #: Groups that each bring their own best phrases before those of a language are ranked.
 GROUPS = 64
 
@@ -40,16 +40,24 @@ class _Places(dict):
         return found
 
 
-def _packed(at: np.ndarray, place: np.ndarray, distinct: int) -> dict[str, bytes]:
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs."""
+    most = int(values.max(initial=0))
+    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{len(packed) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _packed(at: np.ndarray, place: np.ndarray) -> dict[str, object]:
     """A relation sorted by position, as gaps and as places in the block's own dictionary."""
-    width = "<u2" if distinct <= 1 << 16 else "<u4"
-    return {"gap": np.diff(at, prepend=0).astype("<i4").tobytes(), "place": place.astype(width).tobytes()}
+    return {"size": len(at), "gap": _narrow(np.diff(at, prepend=0)), "place": _narrow(place)}
 
 
-def _unpacked(batch: pa.RecordBatch, k: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
-    width = "<u2" if distinct <= 1 << 16 else "<u4"
-    at = np.cumsum(np.frombuffer(batch["gap"][k].as_py(), "<i4"), dtype=np.int64)
-    return at, np.frombuffer(batch["place"][k].as_py(), width).astype(np.int64)
+def _unpacked(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    n = batch["size"][k].as_py()
+    return np.cumsum(_wide(batch["gap"][k].as_py(), n)), _wide(batch["place"][k].as_py(), n)
 
 
 class _Block:
@@ -71,7 +79,7 @@ class _Block:
         at = np.flatnonzero(tokens)
         words = [w.decode() for w in self.places][1:]
         counts = np.bincount(tokens, minlength=len(self.places))[1:]
-        return {"block": number, "lang": lang, "size": len(at), "words": words, "counts": counts} | _packed(at, tokens[at] - 1, len(words))
+        return {"block": number, "lang": lang, "words": words, "counts": counts} | _packed(at, tokens[at] - 1)
 
 
 def _blocks(docs: DataFrame, lang: str, text: str) -> DataFrame:
@@ -100,7 +108,7 @@ def _blocks(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 
 #: A relation of phrases: positions, and places among the sorted ids of the block.
-RELATION = "block long, gap binary, place binary, ids array<long>"
+RELATION = "block long, size long, gap binary, place binary, ids array<long>"
 
 
 def _adjacent(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +117,7 @@ def _adjacent(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np
     Returns the sorted ids, and for every pair its position and the places of both ids among them.
     """
     known = batch["ids"][k].values.to_numpy()
-    at, place = _unpacked(batch, k, len(known))
+    at, place = _unpacked(batch, k)
     first = np.flatnonzero(at[1:] == at[:-1] + 1)
     return known, at[first], place[first], place[first + 1]
 
@@ -133,7 +141,7 @@ def _pairs(relation: DataFrame) -> DataFrame:
 
 def _row(at: np.ndarray, ids: np.ndarray) -> dict[str, object]:
     known, place = np.unique(ids, return_inverse=True)
-    return {"ids": known} | _packed(at, place, len(known))
+    return {"ids": known} | _packed(at, place)
 
 
 def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -162,7 +170,7 @@ def _longer(relation: DataFrame, ids: DataFrame) -> DataFrame:
             place = np.minimum(np.searchsorted(code, own), len(code) - 1)
             held = code[place] == own
             out.append(_row(at[held], new[place[held]]))
-        return {"block": batch["block"]} | {n: [row[n] for row in out] for n in ("gap", "place", "ids")}
+        return {"block": batch["block"]} | {n: [row[n] for row in out] for n in ("size", "gap", "place", "ids")}
 
     return per_batch(relation.join(named, "block"), work, RELATION)
 
@@ -170,17 +178,17 @@ def _longer(relation: DataFrame, ids: DataFrame) -> DataFrame:
 def _word_relation(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """The relation of the occurrences of frequent words."""
     named = words.groupBy("block").agg(F.collect_list("slot").alias("places"), F.collect_list("id").alias("new"))
-    own = blocks.select("block", "gap", "place", F.size("words").alias("distinct"))
+    own = blocks.select("block", "size", "gap", "place", F.size("words").alias("distinct"))
 
     def work(batch) -> dict[str, object]:
         out = []
         for k in range(batch.num_rows):
-            at, place = _unpacked(batch, k, batch["distinct"][k].as_py())
+            at, place = _unpacked(batch, k)
             ids = np.full(batch["distinct"][k].as_py(), -1, np.int64)
             ids[batch["places"][k].values.to_numpy()] = batch["new"][k].values.to_numpy()
             found = ids[place]
             out.append(_row(at[found >= 0], found[found >= 0]))
-        return {"block": batch["block"]} | {n: [row[n] for row in out] for n in ("gap", "place", "ids")}
+        return {"block": batch["block"]} | {n: [row[n] for row in out] for n in ("size", "gap", "place", "ids")}
 
     return per_batch(own.join(named, "block"), work, RELATION)
 
