@@ -9,6 +9,7 @@ from sheetdelta import config as C
 from sheetdelta.functions import records as H
 from sheetdelta.functions import text as T
 from sheetdelta.operators.ordered import Scan, running
+from sheetdelta.session import cut as step
 
 
 def normalize_records(records: DataFrame) -> DataFrame:
@@ -130,24 +131,70 @@ def revision_chain(catalog: DataFrame) -> DataFrame:
     )
 
 
-def _rare_bigrams(texts: DataFrame, cut: float = C.SIMILAR_RUN_CUT) -> DataFrame:
-    """(text, key): the rarest bigrams of a text, as many as a similar text must share one of.
+#: Texts that share one piece and meet in one group; commoner pieces are dealt to several groups.
+PIECE_BLOCK = 2048
 
-    An edit touches two bigrams at most, so texts of length l with a ratio of at least
-    ``cut`` share at least l - 1 - 2 (1 - cut) l of them, repeats counted; all but that many, and
-    one more, are the keys. Rare ones come first, so a word that all names hold joins nothing.
-    Texts too short for that only resemble texts of their own length.
+
+def _edits(length: Column, cut: float) -> Column:
+    """Edits that a text of this length may be away from one not longer, at a ratio of ``cut``."""
+    return F.floor((1 - cut) * F.greatest(length, F.lit(1)) + 1e-9).cast("int")
+
+
+def _pieces(texts: DataFrame, cut: float) -> DataFrame:
+    """(long, k, place, piece): each text cut into one piece more than the edits it allows, so one piece stays whole.
+
+    The longer pieces come last. Place is the distance of the piece from the start of the text.
     """
-    length = F.length("text")
-    at = texts.select("text", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), length - 1)), lambda i: F.substring("text", i, F.lit(2)))).alias("pos", "gram"))
-    same = Window.partitionBy("text", "gram").orderBy("pos")     # within one name
-    grams = at.select("text", F.concat_ws("#", "gram", F.row_number().over(same)).alias("key"))
-    counted = grams.join(grams.groupBy("key").agg(F.count("*").alias("texts")), "key")
-    shared = F.greatest(F.lit(1), F.ceil((2 * cut - 1) * length - 1 - 1e-9))
-    rank = F.row_number().over(Window.partitionBy("text").orderBy("texts", "key"))
-    kept = counted.withColumn("rank", rank).filter(F.col("rank") <= length - shared).select("text", "key")
-    short = texts.filter((2 * cut - 1) * length <= 1).select("text", F.concat(F.lit("length "), length).alias("key"))
-    return kept.unionByName(short)
+    k, length = _edits(F.length("text"), cut), F.length("text")
+    sized = texts.select("text", k.alias("k"), F.floor(length / (k + 1)).cast("int").alias("width"), (length % (k + 1)).cast("int").alias("wider"))
+    each = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    before = F.greatest(F.col("i") - (F.col("k") + 1 - F.col("wider")), F.lit(0))
+    placed = each.withColumn("place", (F.col("i") * F.col("width") + before).cast("int"))
+    wide = F.col("width") + (F.col("i") >= F.col("k") + 1 - F.col("wider")).cast("int")
+    return placed.select(F.col("text").alias("long"), "k", "place", F.substring("text", F.col("place") + 1, wide).alias("piece"))
+
+
+def _probes(texts: DataFrame, widths: list[int]) -> DataFrame:
+    """(short, at, piece): every part of a text that is as wide as some piece."""
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.length("text") - w, F.lit(0)))
+    parts = F.concat(*[
+        F.transform(starts(w), lambda at, w=w: F.struct(at.alias("at"), F.substring("text", at + 1, F.lit(w)).alias("piece"))) for w in widths
+    ])
+    return texts.select(F.col("text").alias("short"), F.explode(parts).alias("p")).select("short", "p.at", "p.piece").distinct()
+
+
+def similar_texts(left: DataFrame, right: DataFrame, cut: float = C.SIMILAR_RUN_CUT) -> DataFrame:
+    """(left, right, ratio): pairs of texts whose edit distance is at most 1 - ``cut`` of the longer one.
+
+    Both tables hold a column ``text``, distinct. The longer text of a pair with at most k edits is cut
+    into k + 1 pieces; one of them stands in the other text, moved by at most the edits before it,
+    while those after it make up the rest of the difference in length. Texts meet on equal
+    pieces, and the distance is taken in the join, within the band of k, so only similar pairs leave
+    it. A piece that many texts hold is dealt to several groups.
+    """
+
+    def one_way(longer: DataFrame, shorter: DataFrame, equal: bool) -> DataFrame:
+        pieces = _pieces(longer, cut)
+        widths = [r[0] for r in pieces.select(F.length("piece")).distinct().collect()]  # at most 1 / (1 - cut) + 1 values
+        if not widths:
+            widths = [0]
+        probes = _probes(shorter, sorted(widths))
+        sizes = pieces.groupBy("piece").agg(F.count("*").alias("n")).filter(F.col("n") > PIECE_BLOCK)
+        groups = step(sizes.select("piece", F.ceil(F.col("n") / PIECE_BLOCK).cast("int").alias("groups")))
+        dealt = pieces.join(groups, "piece", "left").withColumn("group", F.coalesce(F.pmod(F.xxhash64("long"), "groups").cast("int"), F.lit(0)))
+        asked = probes.join(groups, "piece", "left").withColumn("group", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)))
+        moved, apart = F.col("at") - F.col("place"), F.length("short") - F.length("long")
+        near = (F.length("short") <= F.length("long")) if equal else (F.length("short") < F.length("long"))
+        near &= F.abs(moved) + F.abs(apart - moved) <= F.col("k")
+        a, b = dealt.drop("groups").alias("a"), asked.drop("groups").alias("b")
+        on = (F.col("a.piece") == F.col("b.piece")) & (F.col("a.group") == F.col("b.group")) & near
+        on &= F.expr("levenshtein(`long`, `short`, k) >= 0")
+        return a.join(b, on).select("long", "short").distinct()
+
+    pairs = one_way(left, right, True).select(F.col("long").alias("left"), F.col("short").alias("right")).unionByName(
+        one_way(right, left, False).select(F.col("short").alias("left"), F.col("long").alias("right")))
+    width = F.greatest(F.length("left"), F.length("right"), F.lit(1))
+    return pairs.withColumn("ratio", 1.0 - F.levenshtein("left", "right") / width).filter(F.col("ratio") >= cut)
 
 
 def match_existing_runs(pairs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -155,8 +202,7 @@ def match_existing_runs(pairs: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``pairs`` holds pair_id, old_path and new_path, ``runs`` run_id, created_at,
     file_a and file_b. Equal paths and equal names are equality joins. Similar
-    names are compared between distinct name pairs that share one of their rarest
-    bigrams, which no pair above the cut can avoid, and every distinct pair is compared once.
+    names are compared once for each distinct text, by an index of pieces for the edit distance.
     """
     stem = lambda c: F.regexp_replace(H.base_name(c), r"\.[^.]*$", "")
     asked = pairs.select(
@@ -186,17 +232,7 @@ def match_existing_runs(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     mine = asked.select("asked_stems").distinct()
     theirs = known.select("stems", "stems_reversed").distinct()
     turned = theirs.select(F.explode(F.array("stems", "stems_reversed")).alias("text"))
-    keys = _rare_bigrams(turned.unionByName(mine.select(F.col("asked_stems").alias("text"))).distinct())
-    pairs_of = keys.select(F.col("text").alias("asked_stems"), "key").join(mine, "asked_stems").join(
-        keys.join(turned.distinct(), "text").select(F.col("text").alias("other"), "key"), "key")
-    length = lambda a, b: F.greatest(F.length(a), F.length(b), F.lit(1))
-    # a ratio above the cut needs lengths that close
-    near = F.least(F.length("asked_stems"), F.length("other")) >= C.SIMILAR_RUN_CUT * length("asked_stems", "other")
-    close = (
-        pairs_of.filter(near).select("asked_stems", "other").distinct()
-        .withColumn("ratio", 1.0 - F.levenshtein("asked_stems", "other") / length("asked_stems", "other"))
-        .filter(F.col("ratio") >= C.SIMILAR_RUN_CUT)
-    )
+    close = similar_texts(mine.select(F.col("asked_stems").alias("text")), turned.distinct()).toDF("asked_stems", "other", "ratio")
     either = theirs.select("stems", "stems_reversed", F.explode(F.array_distinct(F.array("stems", "stems_reversed"))).alias("other"))
     ratio = close.join(either, "other").groupBy("asked_stems", "stems", "stems_reversed").agg(F.max("ratio").alias("ratio"))
     fuzzy = asked.join(ratio, "asked_stems").join(known, ["stems", "stems_reversed"]).select(
