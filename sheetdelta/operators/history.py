@@ -156,11 +156,12 @@ def _pieces(texts: DataFrame, cut: float) -> DataFrame:
 
 def _probes(texts: DataFrame, widths: list[int]) -> DataFrame:
     """(short, at, piece): every part of a text that is as wide as some piece."""
-    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.length("text") - w, F.lit(0)))
-    parts = F.concat(*[
-        F.transform(starts(w), lambda at, w=w: F.struct(at.alias("at"), F.substring("text", at + 1, F.lit(w)).alias("piece"))) for w in widths
-    ])
-    return texts.select(F.col("text").alias("short"), F.explode(parts).alias("p")).select("short", "p.at", "p.piece").distinct()
+
+    def parts(width: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length("text") - width, F.lit(0)))
+        return F.transform(starts, lambda at: F.struct(at.alias("at"), F.substring("text", at + 1, F.lit(width)).alias("piece")))
+
+    return texts.select(F.col("text").alias("short"), F.explode(F.concat(*map(parts, widths))).alias("p")).select("short", "p.at", "p.piece").distinct()
 
 
 def similar_texts(left: DataFrame, right: DataFrame, cut: float = C.SIMILAR_RUN_CUT) -> DataFrame:

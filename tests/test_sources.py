@@ -1,4 +1,5 @@
 import json
+import random
 
 
 from sheetdelta.operators import history as O
@@ -57,3 +58,34 @@ def test_similar_names_and_exact_names(spark):
     assert got == {1: "exact_paths", 2: "exact_file_names_reversed", 3: "similar_file_names"}
     best = O.similar_runs(O.match_existing_runs(pairs, runs), 2).orderBy("place").select("run_id").collect()
     assert [r.run_id for r in best] == [1, 3]   # one letter apart is closer than reversed names
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_similar_texts_equal_brute_force_at_every_length(spark, monkeypatch):
+    monkeypatch.setattr(O, "PIECE_BLOCK", 3)
+    draw, texts = random.Random(5), {"", "a", "ab", "7", "é"}
+    while len(texts) < 120:
+        base = draw.choice(sorted(texts, key=lambda t: (len(t), t))[-40:]) if draw.random() < 0.7 else "".join(draw.choice("ab_r1 ") for _ in range(draw.randrange(34)))
+        own = list(base)
+        for _ in range(draw.randrange(8)):
+            at = draw.randrange(len(own) + 1)
+            own[at : at + draw.randrange(2)] = draw.choice(["", "a", "b", "zz", "1"])
+        texts.add("".join(own)[:45])
+    asked, known = sorted(texts)[::2], sorted(texts)[1::2] + sorted(texts)[::10]
+    frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string").distinct()
+    found = {(r.left, r.right): r.ratio for r in O.similar_texts(frame(asked), frame(known)).collect()}
+    want = {}
+    for a in set(asked):
+        for b in set(known):
+            ratio = 1.0 - brute_distance(a, b) / max(len(a), len(b), 1)
+            if ratio >= 0.72:
+                want[a, b] = ratio
+    assert found == want and len(want) > 100
