@@ -15,13 +15,14 @@ from sheetdelta.functions.vectors import text_similarity, visual_similarity
 
 
 def _aspect_gap(a: Column, b: Column) -> Column:
-    left, right = a["width_pt"] / a["height_pt"], b["width_pt"] / b["height_pt"]
-    return F.abs(left - right) / F.greatest(left, right)
+    """Relative difference of the aspects; null where a side is 0."""
+    left, right = F.try_divide(a["width_pt"], a["height_pt"]), F.try_divide(b["width_pt"], b["height_pt"])
+    return F.try_divide(F.abs(left - right), F.greatest(left, right))
 
 
 def size_compatible(a: Column, b: Column) -> Column:
     area_a, area_b = a["width_pt"] * a["height_pt"], b["width_pt"] * b["height_pt"]
-    ratio = F.least(area_a, area_b) / F.greatest(area_a, area_b)
+    ratio = F.try_divide(F.least(area_a, area_b), F.greatest(area_a, area_b))
     ok = (ratio >= C.MIN_AREA_RATIO) & (_aspect_gap(a, b) <= C.MAX_ASPECT_DELTA)
     return F.coalesce((area_a > 0) & (area_b > 0) & ok, F.lit(False))
 

@@ -14,10 +14,10 @@ def minmax_normalize(thumb: Column) -> Column:
 
 
 def visual_similarity(a: Column, b: Column) -> Column:
-    """1 - mse / 255^2, floored at 0; vectors of different size give 0."""
+    """1 - mse / 255^2, floored at 0; vectors of different size, and empty ones, give 0."""
     squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    mse = F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v) / F.size(a)
-    return F.when(F.size(a) != F.size(b), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - mse / (255.0 * 255.0)))
+    mse = F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v) / F.greatest(F.size(a), F.lit(1))
+    return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - mse / (255.0 * 255.0)))
 
 
 def text_similarity(a: Column, b: Column) -> Column:

@@ -158,8 +158,8 @@ def p21(v):
     )
 
 
-def tiles_of(v, base="sheets_base"):
-    return S.similarity_tiles(v.sheets(base))
+def edges_of(v, base="sheets_base"):
+    return cut(S.similarity_edges(v.sheets(base)))
 
 
 @query("j1_candidate_pairs", _ALL + """
@@ -167,7 +167,8 @@ select doc_pair, a_idx, count(*) filter (ok) as compatible, count(*) filter (ok
   arg_min(b_idx, b_idx) filter (ok and sim = top) as best_b, max(sim) filter (ok) as best_sim
 from (select *, max(case when ok then sim end) over (partition by doc_pair, a_idx) as top from cand) group by doc_pair, a_idx""")
 def j1(v):
-    return S.candidate_summary(tiles_of(v))
+    sheets = cut(v.sheets())
+    return S.candidate_summary(sheets, cut(S.similarity_edges(sheets)))
 
 
 @query("j2_token_block_join", _S + """,
@@ -196,17 +197,18 @@ def a14(v):
 
 @query("m1_match_global", _ALL + _GREEDY + " select * from greedy")
 def m1(v):
-    return M.match_global(cut(tiles_of(v)))
+    return M.match_global(edges_of(v))
 
 
 @query("m1_match_global_long", _LONG + _CAND + _GREEDY + " select * from greedy")
 def m1_long(v):
-    return M.match_global(cut(tiles_of(v, "sheets_base_long")))
+    return M.match_global(edges_of(v, "sheets_base_long"))
 
 
 @query("m2_match_ordered", _recursive(_ALL + _CHAIN + " select * from chain"))
 def m2(v):
-    return M.match_ordered(cut(tiles_of(v)))
+    sheets = cut(v.sheets())
+    return M.match_ordered(cut(S.similarity_edges(sheets)), S.sheet_counts(sheets))
 
 
 # a fixed one-to-one map on which the map operators can be checked: equal text digest keys
@@ -264,8 +266,8 @@ def w11(v):
 @query("m3_choose_map", _recursive(_ALL + _GREEDY + _CHAIN + _VERDICT + " select * from verdict"))
 def m3(v):
     sheets = cut(v.sheets().drop("text"))
-    tiles = cut(S.similarity_tiles(sheets))
-    return M.choose_map(cut(M.match_global(tiles)), cut(M.match_ordered(tiles)), S.sheet_counts(sheets))
+    edges, counts = cut(S.similarity_edges(sheets)), S.sheet_counts(sheets)
+    return M.choose_map(M.match_global(edges), M.match_ordered(edges, counts), counts)
 
 
 @query("m4_emit_page_map", _recursive(_ALL + _GREEDY + _CHAIN + _VERDICT + _PAGES))
