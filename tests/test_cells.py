@@ -205,3 +205,32 @@ def test_excluded_region_and_identical_sheet(spark):
     hidden = spark.createDataFrame([("d", 58.0, 18.0, 40.0, 20.0, "px", "top_left")], "doc_pair string, x double, y double, w double, h double, unit string, anchor string")
     masked, _ = compare.diff_sheets(words, sizes, compare.DiffSettings(dpi=72.0), hidden)
     assert {r.change_level for r in masked.collect()} == {"unchanged"}
+
+
+@pytest.mark.parametrize("lines, words, share", [(4, 1, 0.3), (8, 2, 0.42), (512, 16, 0.42)])
+def test_regions_over_many_tiles_equal_flood_fill(spark, monkeypatch, lines, words, share):
+    monkeypatch.setattr(Z, "LABEL_ROWS", lines)
+    monkeypatch.setattr(Z, "LABEL_WORDS", words)
+    rng = np.random.default_rng(lines)
+    mask = rng.random((70, 300)) < share
+    mask[10:60:4, :] = True
+    mask[:, 64:300:64] &= rng.random((70, 4)) < 0.9
+    ys, xs = np.nonzero(mask)
+    cells = spark.createDataFrame([("d", 0, int(x), int(y)) for y, x in zip(ys, xs)], "doc_pair string, seq long, x long, y long")
+    word = cells.groupBy("doc_pair", "seq", "y", F.floor(F.col("x") / 64).alias("wx")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x % 64 as int))")).alias("bits"))
+    want, seen = {}, set()
+    for y, x in zip(ys.tolist(), xs.tolist()):
+        if (y, x) in seen:
+            continue
+        seen.add((y, x))
+        stack = [(y, x)]
+        while stack:
+            a, b = stack.pop()
+            want[a, b] = (y << 32) + x
+            for c in range(max(0, a - 1), min(70, a + 2)):
+                for d in range(max(0, b - 1), min(300, b + 2)):
+                    if mask[c, d] and (c, d) not in seen:
+                        seen.add((c, d))
+                        stack.append((c, d))
+    found = {(r.y, x): r.label for r in Z.connected_zones(word).collect() for x in range(r.x0, r.x1 + 1)}
+    assert found == want and len(set(want.values())) > 3
