@@ -117,6 +117,27 @@ def a9(v):
     return _zones(v).select("seq", "x", "y", "w", "h", "area")
 
 
+# free cells that see the frame along a line or hang together with such a cell over sides; what is left is filled, and its regions stand in no hole
+_FILLED = """sheet as (select distinct seq from changed),
+free as (select * from (select seq, x, y from sheet, range(-1, 65) t(x), range(-1, 65) u(y)) anti join changed using (seq, x, y)),
+across as (select seq, y, min(x) as x0, max(x) as x1 from changed group by seq, y), down as (select seq, x, min(y) as y0, max(y) as y1 from changed group by seq, x),
+outside as (select seq, x, y from free left join across using (seq, y) left join down using (seq, x)
+    where x0 is null or x < x0 or x > x1 or y0 is null or y < y0 or y > y1
+  union select f.seq, f.x, f.y from outside o, (values (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) join free f on f.seq = o.seq and f.x = o.x + dx and f.y = o.y + dy),
+filled as (select * from (select seq, x, y from sheet, range(0, 64) t(x), range(0, 64) u(y)) anti join outside using (seq, x, y)),
+node as (select seq, x, y, y * 64 + x as id from filled),"""
+_OUTER = _REGIONS.replace("node as (select seq, x, y, y * 64 + x as id from changed),", _FILLED) + """,
+square as (select seq, x - dx as qx, y - dy as qy, count(*) as n, min(label) as label
+  from node join reach using (seq, id), (values (0, 0), (0, 1), (1, 0), (1, 1)) d(dx, dy) group by all having count(*) >= 3),
+rated as (select seq, label, sum(case n when 4 then 1e0 else 0.5e0 end) as polygon from square group by seq, label)
+select seq, x, y, w, h, coalesce(polygon, 0e0) as area, area as cells from zone left join rated using (seq, label)"""
+
+
+@query("a9_outer_zones", _OUTER)
+def a9_outer(v):
+    return Z.outer_zones(masks_of(v), "changed").select("seq", "x", "y", "w", "h", "area", "cells")
+
+
 @query("f6_min_area_zones", view_ctes("zones") + "select seq, zone_id, w * h as area from zones where w * h >= 80")
 def f6(v):
     sized = v.view("zones").withColumn("area", F.col("w") * F.col("h"))

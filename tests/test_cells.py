@@ -216,8 +216,7 @@ def test_regions_over_many_tiles_equal_flood_fill(spark, monkeypatch, lines, wor
     mask[10:60:4, :] = True
     mask[:, 64:300:64] &= rng.random((70, 4)) < 0.9
     ys, xs = np.nonzero(mask)
-    cells = spark.createDataFrame([("d", 0, int(x), int(y)) for y, x in zip(ys, xs)], "doc_pair string, seq long, x long, y long")
-    word = cells.groupBy("doc_pair", "seq", "y", F.floor(F.col("x") / 64).alias("wx")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x % 64 as int))")).alias("bits"))
+    word = packed(spark, mask)
     want, seen = {}, set()
     for y, x in zip(ys.tolist(), xs.tolist()):
         if (y, x) in seen:
@@ -234,3 +233,58 @@ def test_regions_over_many_tiles_equal_flood_fill(spark, monkeypatch, lines, wor
                         stack.append((c, d))
     found = {(r.y, x): r.label for r in Z.connected_zones(word).collect() for x in range(r.x0, r.x1 + 1)}
     assert found == want and len(set(want.values())) > 3
+
+
+def packed(spark, mask):
+    ys, xs = np.nonzero(mask)
+    cells = spark.createDataFrame([("d", 0, int(x), int(y)) for y, x in zip(ys, xs)], "doc_pair string, seq long, x long, y long")
+    return cells.groupBy("doc_pair", "seq", "y", F.floor(F.col("x") / 64).alias("wx")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x % 64 as int))")).alias("bits"))
+
+
+def flood(free, start, steps):
+    seen, stack = np.zeros(free.shape, bool), [start]
+    seen[start] = True
+    while stack:
+        y, x = stack.pop()
+        for dy, dx in steps:
+            a, b = y + dy, x + dx
+            if 0 <= a < free.shape[0] and 0 <= b < free.shape[1] and free[a, b] and not seen[a, b]:
+                seen[a, b] = True
+                stack.append((a, b))
+    return seen
+
+
+def brute_outer(mask):
+    """Filled regions by flood fill, the area by the corners of the traced squares."""
+    sides = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    outside = flood(~np.pad(mask, 1), (0, 0), sides)[1:-1, 1:-1]
+    whole, out = ~outside, []
+    left = whole.copy()
+    while left.any():
+        y, x = (int(v[0]) for v in np.nonzero(left))
+        own = flood(whole, (y, x), [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        left &= ~own
+        ys, xs = np.nonzero(own)
+        quad = own[:-1, :-1].astype(int) + own[1:, :-1] + own[:-1, 1:] + own[1:, 1:]
+        out.append((int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1, float((quad == 4).sum() + (quad == 3).sum() / 2), int(own.sum())))
+    return sorted(out)
+
+
+def rings():
+    mask = np.zeros((60, 200), bool)
+    for k, (y, x, h, w) in enumerate([(2, 2, 50, 150), (6, 8, 40, 120), (10, 60, 30, 60), (14, 70, 20, 8)]):
+        mask[y : y + h, x : x + w] = k % 2 == 3
+        mask[[y, y + h - 1], x : x + w] = mask[y : y + h, x] = mask[y : y + h, x + w - 1] = True
+    mask[55, 10:190] = True                                   # a line has no area
+    mask[20:30, 170:190] = True
+    mask[22:26, 172:180] = False
+    mask[22, 171] = False                                      # open only over a corner
+    mask[31, 191] = mask[30, 190] = True
+    return mask
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2, 3])
+def test_outer_zones_equal_flood_fill(spark, seed):
+    mask = rings() if seed is None else np.random.default_rng(seed).random((50, 150)) < (0.3, 0.5, 0.62)[seed - 1]
+    found = sorted((r.x, r.y, r.w, r.h, r.area, r.cells) for r in Z.outer_zones(packed(spark, mask)).collect())
+    assert found == brute_outer(mask)
