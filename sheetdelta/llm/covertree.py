@@ -155,12 +155,13 @@ def near_duplicate_vectors(
     vector. Vectors of a label are dealt to blocks of bounded size; each pair of blocks is
     one task, which traverses two cover trees and returns, per vector, how many rows it
     links to and one connecting link at most. Null or zero vectors and those with null or
-    non-finite components link with nothing; vectors link with those of their length only; repeated rows
-    with one key count once; a null key takes no part and returns with no links. Other
+    non-finite components link with nothing; vectors link with those of their length only; usable rows with one
+    key count once, with the smallest label and then vector; a null key takes no part and returns with no links. Other
     columns are not read.
     """
     own = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
-    rows = own.filter(usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull()).dropDuplicates(["id"])
+    rows = own.filter(usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull())
+    rows = rows.groupBy("id").agg(F.min(F.struct("label", "v")).alias("row")).select("id", "row.label", "row.v")
     folded = cut(rows.groupBy("label", "v").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     sizes = folded.groupBy("label").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     dealt = folded.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int"))

@@ -122,11 +122,13 @@ def nearest(
     the shard's tree, searches it and sends k rows per query. ``relax`` above 1 prunes more
     than the triangle inequality allows. Null or zero vectors, and those with null or
     non-finite components, take no part, nor do null keys; vectors are compared with those
-    of their own length only; with fewer than ``k`` candidates all are returned.
+    of their own length only; with fewer than ``k`` candidates all are returned. Of usable rows
+    with one key, the smallest vector counts.
     """
     clean = lambda df: df.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("width"))
-    rows, asked = clean(base).dropDuplicates(["id"]), clean(queries).dropDuplicates(["id"])
+        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")
+    ).groupBy("id").agg(F.min("v").alias("v")).withColumn("width", F.size("v"))
+    rows, asked = clean(base), clean(queries)
     n_rows, n_asked = rows.count(), asked.count()
     shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_asked // block_queries))
     deal = lambda n: F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(n)).cast("int")

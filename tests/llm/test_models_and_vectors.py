@@ -270,3 +270,16 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.collect() == []
+
+
+def test_of_rows_with_one_id_the_smallest_vector_counts(spark):
+    rows = [(1, [0.0, 1.0], "a"), (2, [5.0, 0.0], "a"), (2, [0.0, 2.0], "a"), (3, [1.0, 0.0], "a"), (2, None, "a")]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    for turn in (base, base.orderBy(F.desc("vec_id")), base.orderBy("embedding")):
+        found = vptree.nearest(turn, turn.filter("vec_id = 1"), k=2).collect()
+        assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(2, 1.0), (3, pytest.approx(2**0.5))]
+        linked = sorted(map(tuple, covertree.near_duplicate_vectors(turn).collect()))
+        # the vector that counts links 2 with 1; a row without a vector links with nothing
+        assert (2, 1, 1, False) in linked and (1, 1, 1, True) in linked and (3, 0, 3, True) in linked
+        first = linked if turn is base else first
+        assert linked == first
