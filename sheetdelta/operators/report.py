@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sheetdelta import config as C
 from sheetdelta.functions import severity as V
 from sheetdelta.operators.ordered import position
+from sheetdelta.operators.ranges import seq_ranges
 
 _BUCKET = 4096
 
@@ -140,14 +141,13 @@ def elapsed_and_eta(details: DataFrame, totals: DataFrame, run: Sequence[str] =
 
 
 def mixed_precision_flags(details: DataFrame, run: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Whether any sheet of a run has settings of its own, and how many and which.
+    """Whether any sheet of a run has settings of its own, and how many; ``mixed_ranges`` says which."""
+    return details.groupBy(*run).agg(F.bool_or("mixed_settings").alias("is_mixed"), _n(F.col("mixed_settings")).alias("mixed_count"))
 
-    The sheet numbers stay rows until the end; only one run's numbers meet.
-    """
-    return details.groupBy(*run).agg(
-        F.bool_or("mixed_settings").alias("is_mixed"), _n(F.col("mixed_settings")).alias("mixed_count"),
-        F.sort_array(F.collect_list(F.when(F.col("mixed_settings"), F.col("seq")))).alias("mixed_seqs"),
-    )
+
+def mixed_ranges(details: DataFrame, run: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Sheets with settings of their own, as ranges of numbers (first, last)."""
+    return seq_ranges(details.filter("mixed_settings"), run)
 
 
 def view_order(details: DataFrame, run: Sequence[str] = ("run_id",)) -> DataFrame:

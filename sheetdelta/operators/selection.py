@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetdelta.operators.ordered import position
+from sheetdelta.operators.ranges import seq_ranges
 
 
 def skip_reason(row_excluded: Column) -> Column:
@@ -33,10 +34,9 @@ def select_for_review(details: DataFrame, excluded: DataFrame, run: tuple[str, .
 
 
 def skip_reason_counts(selected: DataFrame, run: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Rows and sorted sheet numbers per run and reason."""
-    return selected.filter("skip_reason is not null").groupBy(*run, "skip_reason").agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_list("seq")).alias("seqs")
-    )
+    """Sheets per run and reason, as ranges of numbers with the number of sheets (first, last, n)."""
+    ranges = seq_ranges(selected.filter("skip_reason is not null"), [*run, "skip_reason"])
+    return ranges.withColumn("n", F.col("last") - F.col("first") + 1)
 
 
 def restrict_seqs(rows: DataFrame, wanted: DataFrame | None, run: tuple[str, ...] = ("run_id",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetdelta import config as C
+from sheetdelta.operators.ranges import seq_ranges
 
 
 def resolve_settings(
@@ -43,7 +44,6 @@ def override_problems(rows: DataFrame, overrides: DataFrame, run: Sequence[str]
 
 
 def group_page_settings(overrides: DataFrame, names: Sequence[str], run: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Sheets of a run that share their settings, with their sorted numbers."""
-    return overrides.groupBy(*run, *names).agg(
-        F.sort_array(F.collect_list("seq")).alias("seqs"), F.count("*").alias("n")
-    )
+    """Sheets of a run that share their settings, as ranges of numbers with the number of sheets (first, last, n)."""
+    ranges = seq_ranges(overrides, [*run, *names])
+    return ranges.withColumn("n", F.col("last") - F.col("first") + 1)

@@ -184,11 +184,17 @@ def a18(v):
     return R.elapsed_and_eta(done, pages.groupBy("run_id").agg(F.count("*").alias("total")))
 
 
+def _listed(ranges, keys):
+    """Ranges written out as the numbers they hold, for the check."""
+    numbers = F.flatten(F.sort_array(F.collect_list(F.sequence("first", "last"))))
+    return ranges.groupBy(*keys).agg(F.sum("n").alias("n"), F.array_join(numbers, ",").alias("seqs"))
+
+
 @query("a20_group_page_settings", view_ctes("overrides") + """
 select run_id, dpi, diff_strictness, stroke_tol, count(*) as n, array_to_string(list_sort(list(seq)), ',') as seqs from overrides group by run_id, dpi, diff_strictness, stroke_tol""")
 def a20(v):
-    groups = P.group_page_settings(v.view("overrides"), ["dpi", "diff_strictness", "stroke_tol"])
-    return groups.withColumn("seqs", F.array_join("seqs", ","))
+    names = ["dpi", "diff_strictness", "stroke_tol"]
+    return _listed(P.group_page_settings(v.view("overrides"), names), ["run_id", *names])
 
 
 _SEL = _D.rstrip() + """,
@@ -210,7 +216,7 @@ def f4(v):
 @query("a21_skip_reason_counts", _SEL + """
 select run_id, skip_reason, count(*) as n, array_to_string(list_sort(list(seq)), ',') as seqs from sel where skip_reason is not null group by all""")
 def a21(v):
-    return S.skip_reason_counts(_selected(v)).withColumn("seqs", F.array_join("seqs", ","))
+    return _listed(S.skip_reason_counts(_selected(v)), ["run_id", "skip_reason"])
 
 
 @query("f5_limit_sheets", _SEL.rstrip() + """
@@ -227,7 +233,9 @@ def f5(v):
 select run_id, bool_or(mixed_settings) as is_mixed, count(*) filter (mixed_settings) as mixed_count,
   coalesce(array_to_string(list_sort(list(seq) filter (mixed_settings)), ','), '') as mixed_seqs from details group by run_id""")
 def a22(v):
-    return R.mixed_precision_flags(v.view("details")).withColumn("mixed_seqs", F.array_join("mixed_seqs", ","))
+    details = v.view("details")
+    mixed = _listed(R.mixed_ranges(details).withColumn("n", F.lit(0)), ["run_id"]).select("run_id", F.col("seqs").alias("mixed_seqs"))
+    return R.mixed_precision_flags(details).join(mixed, "run_id", "left").fillna("", ["mixed_seqs"])
 
 
 @query("w2_view_order", _D + """
@@ -324,9 +332,12 @@ select run_id, count(*) as n_pages, arg_min(seq, (b_page is null, b_page, seq))
   count(*) filter (mixed_settings) as mixed from details group by run_id""")
 def s6(v):
     documents = writers.report_documents(v.view("details"), v.view("run_defaults"))
-    return documents.select(
-        "run_id", F.size("pages").cast("long").alias("n_pages"), F.col("pages")[0]["seq"].alias("first_seq"),
-        F.col("summary.counts.changed").alias("changed"), F.size("settings.mixed_precision_seqs").cast("long").alias("mixed"),
+    # a run is read from its parts again; ranges of sheets with settings of their own stand in the first one
+    mixed = F.aggregate("settings.mixed_precision", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    head = F.col("part") == 0
+    return documents.groupBy("run_id").agg(
+        F.sum(F.size("pages")).alias("n_pages"), F.max(F.when(head, F.col("pages")[0]["seq"])).alias("first_seq"),
+        F.max(F.when(head, F.col("summary.counts.changed"))).alias("changed"), F.sum(mixed).alias("mixed"),
     )
 
 

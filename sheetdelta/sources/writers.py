@@ -26,17 +26,22 @@ def write_page_map(details: DataFrame, path: str, run: Sequence[str] = ("run_id"
     rows.sortWithinPartitions(*run, "seq").write.mode("overwrite").partitionBy(*run).option("header", True).csv(path)
 
 
-def report_documents(pages: DataFrame, settings: DataFrame, run: Sequence[str] = ("run_id",)) -> DataFrame:
-    """One nested document per run: settings, counts and the pages in view order.
+#: Pages, or ranges of sheets, of one part of a report.
+REPORT_PART = 1000
 
-    A document holds the sheets of one run, as its reader expects.
+
+def report_documents(pages: DataFrame, settings: DataFrame, run: Sequence[str] = ("run_id",), part: int = REPORT_PART) -> DataFrame:
+    """Nested documents of each run, in parts: settings, counts and up to ``part`` pages in view order.
+
+    Part 0 has the first pages; settings and counts stand in every part. The sheets with settings of their own are
+    ranges, dealt to parts by their first number, so no row grows with the run.
     """
-    from sheetdelta.operators.report import mixed_precision_flags, report_counts, view_order, with_status
+    from sheetdelta.operators.report import mixed_precision_flags, mixed_ranges, report_counts, view_order, with_status
 
     counts = report_counts(pages, run)
     flags = mixed_precision_flags(pages, run)
     listed = view_order(with_status(pages), run)
-    body = listed.groupBy(*run).agg(
+    body = listed.groupBy(*run, F.floor((F.col("view_order") - 1) / part).alias("part")).agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
@@ -47,11 +52,17 @@ def report_documents(pages: DataFrame, settings: DataFrame, run: Sequence[str] =
         ).alias("pages")
     )
     names = ("unchanged", "changed", "new", "removed", "moved")
-    joined = body.join(counts, list(run)).join(flags, list(run)).join(settings, list(run), "left")
+    ranges = mixed_ranges(pages, run)
+    # as many parts as the pages make; a run of n sheets has fewer than n ranges
+    parts = body.groupBy(*run).agg(F.max("part").alias("_last"))
+    dealt = ranges.join(parts, list(run)).withColumn("part", F.pmod(F.floor(F.col("first") / part), F.col("_last") + 1))
+    mixed = dealt.groupBy(*run, "part").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("mixed"))
+    joined = body.join(counts, list(run)).join(flags, list(run)).join(settings, list(run), "left").join(mixed, [*run, "part"], "left")
     extra = [c for c in settings.columns if c not in run]
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
     return joined.select(
-        *run,
-        F.struct(*extra, F.col("is_mixed").alias("is_mixed_precision"), F.col("mixed_seqs").alias("mixed_precision_seqs")).alias("settings"),
+        *run, "part",
+        F.struct(*extra, F.col("is_mixed").alias("is_mixed_precision"), F.coalesce("mixed", none).alias("mixed_precision")).alias("settings"),
         F.struct(F.struct(*names).alias("counts")).alias("summary"), "pages",
     )
 
