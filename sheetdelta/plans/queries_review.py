@@ -33,13 +33,12 @@ def zones_of(v):
     return v.view("zone_texts").withColumn("classification", V.classify_description(F.col("description")))
 
 
-@query("p41_zone_key", _T + " select seq, zone_id, count(distinct description) as n_descriptions, 65 + len(cast(seq as string)) as key_length from zone_texts group by seq, zone_id")
+@query("p41_zone_key", _T + """ select distinct seq, zone_id, concat(seq, ':', sha256(concat('{"source":"s","seq":', seq, ',"id":', zone_id,
+  ',"description":', to_json(description), ',"rect":{"x":1}}'))) as key from zone_texts""")
 def p41(v):
     rect = F.struct(F.lit(1).alias("x"))
     key = V.zone_key(F.col("seq"), F.lit("s"), F.col("zone_id"), F.col("description"), rect)
-    return v.view("zone_texts").withColumn("key", key).groupBy("seq", "zone_id").agg(
-        F.countDistinct("key").alias("n_descriptions"), F.max(F.length("key")).cast("long").alias("key_length")
-    )
+    return v.view("zone_texts").select("seq", "zone_id", key.alias("key")).distinct()
 
 
 @query("p42_input_fingerprint", view_ctes("cells", "dims").rstrip() + """,
