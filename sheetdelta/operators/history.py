@@ -132,7 +132,7 @@ def revision_chain(catalog: DataFrame) -> DataFrame:
 
 
 #: Texts that share one piece and meet in one group; commoner pieces are dealt to several groups.
-PIECE_BLOCK = 2048
+PIECE_BLOCK = 256
 
 
 def _edits(length: Column, cut: float) -> Column:
@@ -140,28 +140,43 @@ def _edits(length: Column, cut: float) -> Column:
     return F.floor((1 - cut) * F.greatest(length, F.lit(1)) + 1e-9).cast("int")
 
 
+def _letters(text: Column) -> Column:
+    """Which letters a text holds how often, as bits: 16 classes, four bits each for the first four of a class.
+
+    A letter that one text holds more often than another takes an edit, so bits that only one has bound the distance.
+    """
+    # of each class the places, counted once per text
+    classes = F.transform(F.split(text, ""), lambda c: F.ascii(c) % 16)
+    bits = F.lit(0).cast("long")
+    for k in range(16):
+        held = F.least(F.size(F.filter(classes, lambda c: c == F.lit(k))), F.lit(4))  # noqa: B023 - built at once
+        bits = bits.bitwiseOR(F.shiftleft(F.call_function("shiftleft", F.lit(1).cast("long"), held) - 1, 4 * k))
+    return bits
+
+
 def _pieces(texts: DataFrame, cut: float) -> DataFrame:
-    """(long, k, place, piece): each text cut into one piece more than the edits it allows, so one piece stays whole.
+    """(long, own, k, place, piece): each text cut into one piece more than the edits it allows, so one piece stays whole.
 
     The longer pieces come last. Place is the distance of the piece from the start of the text.
     """
     k, length = _edits(F.length("text"), cut), F.length("text")
-    sized = texts.select("text", k.alias("k"), F.floor(length / (k + 1)).cast("int").alias("width"), (length % (k + 1)).cast("int").alias("wider"))
+    sized = texts.select("text", "letters", k.alias("k"), F.floor(length / (k + 1)).cast("int").alias("width"), (length % (k + 1)).cast("int").alias("wider"))
     each = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
     before = F.greatest(F.col("i") - (F.col("k") + 1 - F.col("wider")), F.lit(0))
     placed = each.withColumn("place", (F.col("i") * F.col("width") + before).cast("int"))
     wide = F.col("width") + (F.col("i") >= F.col("k") + 1 - F.col("wider")).cast("int")
-    return placed.select(F.col("text").alias("long"), "k", "place", F.substring("text", F.col("place") + 1, wide).alias("piece"))
+    return placed.select(F.col("text").alias("long"), F.col("letters").alias("own"), "k", "place", F.substring("text", F.col("place") + 1, wide).alias("piece"))
 
 
 def _probes(texts: DataFrame, widths: list[int]) -> DataFrame:
-    """(short, at, piece): every part of a text that is as wide as some piece."""
+    """(short, its, at, piece): every part of a text that is as wide as some piece."""
 
     def parts(width: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.length("text") - width, F.lit(0)))
         return F.transform(starts, lambda at: F.struct(at.alias("at"), F.substring("text", at + 1, F.lit(width)).alias("piece")))
 
-    return texts.select(F.col("text").alias("short"), F.explode(F.concat(*map(parts, widths))).alias("p")).select("short", "p.at", "p.piece").distinct()
+    each = F.array_distinct(F.concat(*map(parts, widths)))
+    return texts.select(F.col("text").alias("short"), F.col("letters").alias("its"), F.explode(each).alias("p")).select("short", "its", "p.at", "p.piece")
 
 
 def similar_texts(left: DataFrame, right: DataFrame, cut: float = C.SIMILAR_RUN_CUT) -> DataFrame:
@@ -170,8 +185,8 @@ def similar_texts(left: DataFrame, right: DataFrame, cut: float = C.SIMILAR_RUN_
     Both tables hold a column ``text``, distinct. The longer text of a pair with at most k edits is cut
     into k + 1 pieces; one of them stands in the other text, moved by at most the edits before it,
     while those after it make up the rest of the difference in length. Texts meet on equal
-    pieces, and the distance is taken in the join, within the band of k, so only similar pairs leave
-    it. A piece that many texts hold is dealt to several groups.
+    pieces; letters that only one holds rule most pairs out, and the distance of the others is taken in
+    the join, within the band of k, so only similar pairs leave it. A piece that many texts hold is dealt to several groups.
     """
 
     def one_way(longer: DataFrame, shorter: DataFrame, equal: bool) -> DataFrame:
@@ -187,11 +202,14 @@ def similar_texts(left: DataFrame, right: DataFrame, cut: float = C.SIMILAR_RUN_
         moved, apart = F.col("at") - F.col("place"), F.length("short") - F.length("long")
         near = (F.length("short") <= F.length("long")) if equal else (F.length("short") < F.length("long"))
         near &= F.abs(moved) + F.abs(apart - moved) <= F.col("k")
+        near &= F.bit_count(F.col("own").bitwiseAND(F.bitwise_not("its"))) <= F.col("k")
+        near &= F.bit_count(F.col("its").bitwiseAND(F.bitwise_not("own"))) <= F.col("k")
         a, b = dealt.drop("groups").alias("a"), asked.drop("groups").alias("b")
         on = (F.col("a.piece") == F.col("b.piece")) & (F.col("a.group") == F.col("b.group")) & near
         on &= F.expr("levenshtein(`long`, `short`, k) >= 0")
         return a.join(b, on).select("long", "short").distinct()
 
+    left, right = (step(texts.select("text", _letters(F.col("text")).alias("letters"))) for texts in (left, right))
     pairs = one_way(left, right, True).select(F.col("long").alias("left"), F.col("short").alias("right")).unionByName(
         one_way(right, left, False).select(F.col("short").alias("left"), F.col("long").alias("right")))
     width = F.greatest(F.length("left"), F.length("right"), F.lit(1))
