@@ -257,11 +257,10 @@ def match_existing_runs(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     fuzzy = asked.join(ratio, "asked_stems").join(known, ["stems", "stems_reversed"]).select(
         "pair_id", "run_id", "created_at", F.col("ratio").alias("similarity"), F.lit("similar_file_names").alias("reason")
     )
-    rank = F.struct((F.col("reason") != "similar_file_names").alias("exact"), F.col("similarity"))
-    return (
-        found.unionByName(fuzzy).groupBy("pair_id", "run_id", "created_at")
-        .agg(F.max_by(F.struct("similarity", "reason"), rank).alias("m")).select("pair_id", "run_id", "created_at", "m.*")
-    )
+    # equal paths and names come first, whatever the similarity; a similar name names a run once
+    keys = ["pair_id", "run_id", "created_at"]
+    exact = step(found.groupBy(*keys).agg(F.max(F.struct("similarity", "reason")).alias("m")).select(*keys, "m.*"))
+    return exact.unionByName(fuzzy.join(exact.select("pair_id", "run_id"), ["pair_id", "run_id"], "left_anti").select(exact.columns))
 
 
 def similar_runs(matches: DataFrame, limit: int = 10) -> DataFrame:
